@@ -1,41 +1,21 @@
-"""Shared folder, written tables, and lineage cuts that outlive an executor."""
+"""Tables written in the shared folder for the time of one computation."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.session import cut, delete, shared_dir, ship
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine) a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        own = getattr(spark.sparkContext, "_inkwell_dir", None)
-        if own is None:
-            keep = tempfile.TemporaryDirectory(prefix="inkwell-")
-            atexit.register(keep.cleanup)
-            own = spark.sparkContext._inkwell_dir = "file://" + keep.name
-        at = own
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage by checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Scratch", "cut", "delete", "shared_dir", "ship"]
 
 
 class Scratch:
-    """Tables written in the shared folder for the time of one computation; left with `with`, they are deleted."""
+    """Tables in the shared folder; left with `with`, they are deleted, so what is returned from there must be cut before."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.at = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
     def path(self) -> str:
         self.n += 1
@@ -49,5 +29,4 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.at)

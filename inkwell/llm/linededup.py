@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import Scratch, cut
+from inkwell.llm.common import Scratch, cut, delete
 
 MIN_CHARS = 20
 BATCHES = 6
@@ -66,7 +66,7 @@ class LineRuns:
             merged = self._write(self._union(runs))
             for r in runs:
                 self.spark.sql(f"DROP TABLE {r}")
-                _delete(self.spark, f"{self.at}/{r}")
+                delete(self.spark, f"{self.at}/{r}")
             self._keep(merged, level + 1)
 
     def _union(self, runs: list[str]) -> DataFrame:
@@ -85,11 +85,6 @@ class LineRuns:
         self.levels = []
 
 
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     lines = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("no", "line"))
     line = lines.withColumn("line", _trim(F.col("line"))).where(F.length("line") >= min_chars)
