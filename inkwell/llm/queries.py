@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, linededup, neardup, packing, quality
+from inkwell.llm import decontaminate, fingerprint, htmltext, linededup, lmscore, neardup, packing, pii, quality, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, marked if their canonical URL is listed. The list: the URLs on hosts that are named after adult content."""
+    pages = _t(spark, sf_dir, "pages")
+    listed = pages.where(F.lower("url").rlike("^[a-z]+://([^/]*[.])?adult[^/]*")).select("url")
+    return urlfilter.filter_urls(pages.select("page_id", "url"), listed)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     docs = _t(spark, sf_dir, "documents")
@@ -20,6 +28,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(scored["score"] >= quality.KEEP).select("doc_id", "score")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's signatures and root."""
+    return fingerprint.fingerprints(_t(spark, sf_dir, "documents"))
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that nearly equals one of a lesser id, with the document of its group that stays."""
     return neardup.near_duplicates(_t(spark, sf_dir, "documents"))
@@ -30,6 +43,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_t(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page."""
+    return htmltext.extract_pages(_t(spark, sf_dir, "pages"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under the model of all documents."""
+    return lmscore.score_documents(_t(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of personal data or secrets."""
+    return pii.find_pii(_t(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The removal spans of all documents."""
     return decontaminate.find_spans(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
@@ -41,15 +69,54 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op4_minhash_neardup, op5_packing, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_fingerprints, op4_minhash_neardup, op5_packing, op6_html_extraction, op7_lm_scoring, op8_pii, op9_decontamination, op10_line_dedup)}
 
 
 WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
 GAP = r"[^A-Za-z0-9\x{80}-\x{10FFFF}]+"
 
 
+def _canonical(url: str) -> str:
+    bare = f"regexp_replace(regexp_replace(trim({url}), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '')"
+    host = f"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)?$', ''), '^(www\\.|m\\.)+', '')"
+    path = f"regexp_replace(regexp_extract({bare}, '^[^/?]*([^?]*)', 1), '/+$', '')"
+    args = f"list_sort([p for p in string_split(regexp_extract({bare}, '^[^?]*\\?(.*)$', 1), '&') if p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)')])"
+    return f"CASE WHEN length(trim({url})) > 0 THEN {host} || {path} || CASE WHEN len({args}) > 0 THEN '?' || array_to_string({args}, '&') ELSE '' END END"
+
+
+def _lm_sql() -> str:
+    """Counts, interpolated probabilities and backoff over hexadecimal bytes."""
+    n, d = lmscore.ORDER, lmscore.DISCOUNT
+    parts = [
+        f"x AS (SELECT doc_id, repeat('FF', {n - 1}) || hex(encode(coalesce(text, ''))) || 'FE' AS h FROM documents)",
+        f"g AS (SELECT doc_id, substring(h, 2 * i + 1, {2 * n}) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {n - 1})) AS i FROM x))",
+        "per AS (SELECT doc_id, k, count(*) AS m FROM g GROUP BY doc_id, k)",
+        "c AS (SELECT k, sum(m)::BIGINT AS c FROM per GROUP BY k)",
+    ]
+    for k in range(1, n + 1):
+        cut = lmscore.CUTOFFS[k - 1]
+        parts += [
+            f"c{k} AS (SELECT right(k, {2 * k}) AS k, sum(c)::BIGINT AS c FROM c GROUP BY 1)",
+            f"h{k} AS (SELECT left(k, {2 * k - 2}) AS ctx, sum(c)::BIGINT AS ch, 1.0::DOUBLE - coalesce(sum((c - {d})::DOUBLE) FILTER (c >= {cut}), 0) / sum(c) AS g FROM c{k} GROUP BY 1 HAVING max(c) >= {cut})",
+            f"p{k} AS (SELECT a.k, (c - {d})::DOUBLE / ch + g " + (f"* q.p AS p FROM c{k} a JOIN h{k} ON left(a.k, {2 * k - 2}) = ctx JOIN p{k - 1} q ON q.k = right(a.k, {2 * k - 2})" if k > 1 else f"/ 256.0::DOUBLE AS p FROM c{k} a JOIN h{k} ON ctx = ''") + f" WHERE c >= {cut})",
+        ]
+    score = "-ln(256.0::DOUBLE) + coalesce(ln(h1.g), 0)"
+    for k in range(1, n + 1):
+        lower = f"coalesce(ln(h{k}.g), 0) + {score}" if k > 1 else score
+        score = f"CASE WHEN p{k}.p IS NOT NULL THEN ln(p{k}.p) ELSE {lower} END"
+    joins = " ".join(f"LEFT JOIN p{k} ON p{k}.k = right(c.k, {2 * k}) LEFT JOIN h{k} ON h{k}.ctx = left(right(c.k, {2 * k}), {2 * k - 2})" for k in range(1, n + 1))
+    return f"""WITH {", ".join(parts)}, s AS (SELECT c.k, {score} AS lp FROM c {joins}),
+t AS (SELECT doc_id, sum(m)::BIGINT AS n_symbols, sum(m * lp) AS logprob FROM per JOIN s USING (k) GROUP BY doc_id)
+SELECT doc_id, n_symbols, round(logprob, 4)::DOUBLE AS logprob, round(-logprob / ln(2.0::DOUBLE) / n_symbols, 6)::DOUBLE AS bits_per_symbol FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": f"""
+WITH c AS (SELECT page_id, url, {_canonical("url")} AS canonical FROM pages),
+l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(lower(url), '^[a-z]+://([^/]*[.])?adult[^/]*'))
+SELECT page_id, url, canonical, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l) AS listed FROM c""",
+        "op7_lm_scoring": _lm_sql(),
         "op4_minhash_neardup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {neardup.WIDTH - 1}], ' ') AS s
