@@ -26,8 +26,6 @@ from inkwell.llm.common import Scratch, cut, delete
 MIN_CHARS = 20
 BATCHES = 6
 FANOUT = 3
-#: Documents with removals are broadcast up to this number of removed lines; beyond, both sides are shuffled.
-BROADCAST_LINES = 500_000
 
 
 def _trim(line: Column) -> Column:
@@ -111,13 +109,12 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, count_as: str | None = None, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, count_as: str | None = None) -> DataFrame:
     """docs without repeated lines; with `count_as`, a column of that name counts the lines removed from each."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, batches=batches, fanout=fanout)
-    few = gone.count() <= broadcast_lines
     per = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("no", F.lit(True))))).alias("_gone_no"), F.collect_set("h1").alias("_gone_h"))
     text = F.col(f"`{text_col}`")
-    joined = docs.join(F.broadcast(per) if few else per, docs[id_col].cast("long").eqNullSafe(per["_gone_id"]), "left")
+    joined = docs.join(per.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(per["_gone_id"]), "left")
     kept = F.filter(F.split(text.cast("string"), "\n"), lambda x, i: ~(F.coalesce(F.element_at("_gone_no", i), F.lit(False)) & (F.length(_trim(x)) >= min_chars) & F.array_contains("_gone_h", F.xxhash64(_trim(x)))))
     done = joined.withColumn("_left", F.when(F.col("_gone_id").isNull() & F.col("_gone_no").isNull(), text).otherwise(F.array_join(kept, "\n")))
     done = done.withColumn("_less", F.when(F.col("_gone_no").isNull(), F.lit(0)).otherwise(F.size(F.split(text.cast("string"), "\n")) - F.size(kept)).cast("long"))
