@@ -36,8 +36,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that nearly equal one of a lesser id; documents with a NULL id stay."""
-    gone = neardup.near_duplicates(docs).select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left_anti")
+    gone = neardup.near_duplicates(docs).select(F.col("doc_id").alias("__ink_id"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__ink_id"], "left_anti")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

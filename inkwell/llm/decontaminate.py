@@ -285,10 +285,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
 
     Documents without spans stay as they are, whatever they hold. Spans of one id that overlap count once.
     """
-    per = spans.groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("_cuts"))
+    per = spans.groupBy(F.col(id_col).alias("__ink_id")).agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("__ink_cuts"))
     text = F.col(text_col)
     left = F.aggregate(
-        F.col("_cuts"),
+        F.col("__ink_cuts"),
         F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at")),
         lambda acc, x: F.struct(
             F.concat(acc["kept"], F.when(x["char_start"] > acc["at"], F.substring(text, (acc["at"] + 1).cast("int"), (x["char_start"] - acc["at"]).cast("int"))).otherwise(F.lit(""))).alias("kept"),
@@ -296,7 +296,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
         ),
         lambda acc: F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = docs.join(per, docs[id_col] == per["_cut_id"], "left")
-    done = joined.withColumn("_left", F.when(F.col("_cuts").isNull(), text).otherwise(left))
-    done = done.where(F.col("_cuts").isNull() | F.col("_left").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
-    return done.select(*[F.col("_left").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(per, docs[id_col] == per["__ink_id"], "left")
+    done = joined.withColumn("__ink_left", F.when(F.col("__ink_cuts").isNull(), text).otherwise(left))
+    done = done.where(F.col("__ink_cuts").isNull() | F.col("__ink_left").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
+    return done.select(*[F.col("__ink_left").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

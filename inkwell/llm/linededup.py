@@ -112,12 +112,12 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, count_as: str | None = None) -> DataFrame:
     """docs without repeated lines; with `count_as`, a column of that name counts the lines removed from each."""
     gone = repeated_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, batches=batches, fanout=fanout)
-    per = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("no", F.lit(True))))).alias("_gone_no"), F.collect_set("h1").alias("_gone_h"))
+    per = gone.groupBy(F.col("doc_id").alias("__ink_id")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("no", F.lit(True))))).alias("__ink_no"), F.collect_set("h1").alias("__ink_h"))
     text = F.col(f"`{text_col}`")
-    joined = docs.join(per.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(per["_gone_id"]), "left")
-    kept = F.filter(F.split(text.cast("string"), "\n"), lambda x, i: ~(F.coalesce(F.element_at("_gone_no", i), F.lit(False)) & (F.length(_trim(x)) >= min_chars) & F.array_contains("_gone_h", F.xxhash64(_trim(x)))))
-    done = joined.withColumn("_left", F.when(F.col("_gone_id").isNull() & F.col("_gone_no").isNull(), text).otherwise(F.array_join(kept, "\n")))
-    done = done.withColumn("_less", F.when(F.col("_gone_no").isNull(), F.lit(0)).otherwise(F.size(F.split(text.cast("string"), "\n")) - F.size(kept)).cast("long"))
-    done = done.where((F.col("_less") == 0) | F.col("_left").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
-    extra = [F.col("_less").alias(count_as)] if count_as else []
-    return done.select(*[F.col("_left").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *extra)
+    joined = docs.join(per.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(per["__ink_id"]), "left")
+    kept = F.filter(F.split(text.cast("string"), "\n"), lambda x, i: ~(F.coalesce(F.element_at("__ink_no", i), F.lit(False)) & (F.length(_trim(x)) >= min_chars) & F.array_contains("__ink_h", F.xxhash64(_trim(x)))))
+    done = joined.withColumn("__ink_left", F.when(F.col("__ink_id").isNull() & F.col("__ink_no").isNull(), text).otherwise(F.array_join(kept, "\n")))
+    done = done.withColumn("__ink_less", F.when(F.col("__ink_no").isNull(), F.lit(0)).otherwise(F.size(F.split(text.cast("string"), "\n")) - F.size(kept)).cast("long"))
+    done = done.where((F.col("__ink_less") == 0) | F.col("__ink_left").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
+    extra = [F.col("__ink_less").alias(count_as)] if count_as else []
+    return done.select(*[F.col("__ink_left").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *extra)

@@ -226,5 +226,5 @@ def score(docs: DataFrame, machine: Machine | None, *, text_col: str = "text", m
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    scored = score(docs, train(docs, labels, sample=sample), name="_fm_score")
-    return scored.where(F.col("_fm_score") >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(docs, train(docs, labels, sample=sample), name="__ink_score")
+    return scored.where(F.col("__ink_score") >= keep).select(*[F.col(f"`{c}`") for c in docs.columns])

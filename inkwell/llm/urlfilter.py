@@ -68,19 +68,19 @@ def may_contain(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", list_col: str = "url", bits_per_url: int = BITS_PER_URL, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """pages with canonical, and listed: whether the canonical URL is one of those of `listed`."""
     spark = pages.sparkSession
-    keys = listed.select(canonical(F.col(f"`{list_col}`")).alias("_key")).where("_key is not null").distinct()
+    keys = listed.select(canonical(F.col(f"`{list_col}`")).alias("__ink_key")).where("__ink_key is not null").distinct()
     rows = pages.drop("canonical", "listed").withColumn("canonical", canonical(F.col(f"`{url_col}`")))
     n = keys.count()
     blocks = max(1, -(-n * bits_per_url // 512))
-    exact = keys.withColumn("_hit", F.lit(True))
+    exact = keys.withColumn("__ink_hit", F.lit(True))
 
     def joined(df: DataFrame) -> DataFrame:
-        return df.join(exact, df["canonical"] == exact["_key"], "left").withColumn("listed", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+        return df.join(exact, df["canonical"] == exact["__ink_key"], "left").withColumn("listed", F.coalesce("__ink_hit", F.lit(False))).drop("__ink_key", "__ink_hit")
 
     if blocks > most_blocks:
         return joined(rows)
     table = np.zeros((blocks, 8), np.uint64)
-    filled = build_filter(keys.select(F.xxhash64("_key").alias("h")), blocks).toArrow()  # at most `blocks` rows
+    filled = build_filter(keys.select(F.xxhash64("__ink_key").alias("h")), blocks).toArrow()  # at most `blocks` rows
     at = filled["block"].to_numpy()
     for i in range(8):
         table[at, i] = filled[f"w{i}"].to_numpy().view(np.uint64)
@@ -90,8 +90,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", li
     def possible(h: pa.Array) -> pa.Array:
         return pa.array(may_contain(sent.value, h.to_numpy(zero_copy_only=False)))
 
-    marked = rows.withColumn("_possible", F.col("canonical").isNotNull() & possible(F.xxhash64("canonical")))
+    marked = rows.withColumn("__ink_possible", F.col("canonical").isNotNull() & possible(F.xxhash64("canonical")))
     # one plan: only possible hits have a key to join by, the others keep their place
-    keyed = marked.withColumn("_own", F.when(F.col("_possible"), F.col("canonical")))
-    hits = keyed.join(exact, keyed["_own"] == exact["_key"], "left").withColumn("listed", F.coalesce("_hit", F.lit(False)))
-    return hits.drop("_possible", "_own", "_key", "_hit")
+    keyed = marked.withColumn("__ink_own", F.when(F.col("__ink_possible"), F.col("canonical")))
+    hits = keyed.join(exact, keyed["__ink_own"] == exact["__ink_key"], "left").withColumn("listed", F.coalesce("__ink_hit", F.lit(False)))
+    return hits.drop("__ink_possible", "__ink_own", "__ink_key", "__ink_hit")
