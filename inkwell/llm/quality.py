@@ -214,9 +214,10 @@ def score(docs: DataFrame, machine: Machine | None, *, text_col: str = "text", m
     cols = _meta(docs, meta)
 
     @F.arrow_udf("double")
-    def rate(text: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    def rate(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         fm = Machine(*sent.value)
-        for t, *m in text:
+        for row in columns:
+            t, *m = row if isinstance(row, tuple) else (row,)  # one column alone comes without a tuple
             batch = pa.record_batch([t, *m], ["t", *[f"m{k}" for k in range(len(m))]])
             out = [fm.margin(*features(buf, off, part.columns[1:])) for part, buf, off in B.steps(iter([batch]), "t")]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(out) if out else np.zeros(0), -60, 60))))

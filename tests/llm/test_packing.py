@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from inkwell.llm import packing as P
+from tests.llm.helpers import AWKWARD, LONG, clashing, docs
+
+
+def plain_pack(lengths: list[int], tiers: tuple[int, ...]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(document, piece) -> (tier, window, place): best fit over plain lists of windows, last opened first among equal gaps."""
+    tiers, windows, own, longer = sorted(tiers), [], {}, []
+    pieces = sorted(((min(tiers[-1], n - s), d, k, s) for d, n in enumerate(lengths) for k, s in enumerate(range(0, n, tiers[-1]))), key=lambda p: (-p[0], *p[1:]))
+    for tier in reversed(tiers):
+        below = max((t for t in tiers if t < tier), default=0)
+        mine: list[int] = []
+        for m, d, k, _ in (p for p in pieces if below < p[0] <= tier):
+            for group in (longer, mine):
+                fit = [w for w in group if windows[w][1] >= m]
+                if fit:
+                    gap = min(windows[w][1] for w in fit)
+                    w = [w for w in fit if windows[w][1] == gap][0]
+                    break
+            else:
+                windows.append([tier, tier])
+                w = len(windows) - 1
+                mine.append(w)
+            own[d, k] = (windows[w][0], w, windows[w][0] - windows[w][1])
+            windows[w][1] -= m
+        longer += mine
+    return own
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_rules(seed: int) -> None:
+    rng = random.Random(seed)
+    lengths = [rng.choice([0, 1, 3, 7, 12, 16, 40, 64, 65, 100, 256, 300, 1000]) if rng.random() < 0.5 else rng.randint(1, 300) for _ in range(400)]
+    tiers = (16, 64, 256)
+    rows = P.pack(np.array(lengths), tiers, 4)
+    covered, used, tier_of, step_of = defaultdict(list), defaultdict(list), {}, {}
+    for d, k, start, n, tier, w, at, step in rows:
+        covered[d].append((start, n, k))
+        used[w].append((at, n))
+        assert tier_of.setdefault(w, tier) == tier and step_of.setdefault(w, step) == step
+        assert n <= tier
+    assert set(covered) == {d for d, n in enumerate(lengths) if n}
+    for d, own in covered.items():
+        own.sort()
+        assert own[0][0] == 0 and sum(n for _, n, _ in own) == lengths[d] and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and [k for *_, k in own] == list(range(len(own)))
+    for w, own in used.items():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[-1][0] + own[-1][1] <= tier_of[w]
+    groups = defaultdict(list)
+    for w, s in step_of.items():
+        groups[s].append(w)
+    for s, own in groups.items():
+        assert len(own) <= 4 and len({tier_of[w] for w in own}) == 1
+    # the same windows a tier, and the same gaps, as a plain best fit (windows of equal gaps are interchangeable)
+    plain = plain_pack(lengths, tiers)
+    mine, theirs = defaultdict(list), defaultdict(list)
+    for d, k, _, n, tier, w, _, _ in rows:
+        mine[tier, w].append(n)
+        theirs[plain[d, k][0], plain[d, k][1]].append(n)
+    assert sorted(t for t, _ in mine) == sorted(t for t, _ in theirs)
+    assert sorted(t - sum(ns) for (t, _), ns in mine.items()) == sorted(t - sum(ns) for (t, _), ns in theirs.items())
+
+
+def test_gaps_are_filled_and_steps_balanced() -> None:
+    rng = random.Random(3)
+    lengths = [rng.randint(600, 1024) for _ in range(64)] + [rng.randint(1, 128) for _ in range(3000)]
+    rows = P.pack(np.array(lengths), (128, 1024), 8)
+    long_windows = {r[5] for r in rows if r[4] == 1024}
+    assert sum(r[3] for r in rows if r[4] == 1024) / (1024 * len(long_windows)) > 0.99
+    cost = defaultdict(int)
+    for r in rows:
+        if r[4] == 1024:
+            cost[r[7]] += r[3] ** 2
+    assert max(cost.values()) < 1.1 * min(cost.values())
+
+
+def test_documents(spark) -> None:
+    df = clashing(docs(spark, AWKWARD))
+    got = P.pack_documents(df, group_docs=3).collect()
+    counts = {(r.id, r.n) for r in P.token_counts(df).collect()}
+    assert (1, 0) in counts and (2, 0) in counts
+    total = defaultdict(int)
+    for r in got:
+        total[r.doc_id] += r.n_tokens
+    want = defaultdict(int)
+    for i, n in counts:
+        if n:
+            want[i] = n
+    want[8] *= 2  # the repeated row
+    assert dict(total) == dict(want)
+    assert total[7] > 60_000 and len(LONG) > 200_000 and None in total
+    assert P.pack_documents(docs(spark, [])).isEmpty()
+    assert P.pack_documents(docs(spark, [(1, None)])).isEmpty()
+
+
+def test_token_counts(spark) -> None:
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(P.VOCABULARY.replace(".tiktoken", ".json"))
+    texts = ["Hello world, it's fine", "naïve café 漢字 😀", "a  b\n\n c", "12345 $$$ %%%"]
+    got = {r.id: r.n for r in P.token_counts(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}

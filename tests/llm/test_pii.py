@@ -1,0 +1,94 @@
+from __future__ import annotations
+
+import itertools
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from inkwell.llm import bytesops as B
+from inkwell.llm import pii as P
+from tests.llm.helpers import AWKWARD, clashing, docs
+
+
+@pytest.fixture(scope="module")
+def params() -> P.Params:
+    return P.train()
+
+
+def test_gradients() -> None:
+    rng = np.random.default_rng(0)
+    p = P.new_params(rng, 3)
+    x, y = P.labelled_batch(P.labelled_text(5, 9000), rng, 3, 12)
+    _, g = P.loss_and_grads(p, x, y)
+    for k in p:
+        at = tuple(np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape))
+        both = []
+        for e in (1e-2, -1e-2):
+            q = {a: b.copy() for a, b in p.items()}
+            q[k][at] += e
+            both.append(P.crf_loss(q, P.emissions(q, x)[0], y)[0])
+        assert abs((both[0] - both[1]) / 2e-2 - float(g[k][at])) < 2e-3, k
+
+
+def test_viterbi_is_the_best_path() -> None:
+    """Against all tag sequences, over lanes of unequal lengths, with the training network's emissions."""
+    rng = np.random.default_rng(1)
+    p = P.new_params(rng, 4)
+    p["start"] = rng.normal(size=P.TAGS).astype(np.float32)
+    p["move"] = rng.normal(size=(P.TAGS, P.TAGS)).astype(np.float32)
+    buf = rng.integers(0, 256, 40).astype(np.uint8)
+    start, many = np.array([0, 10, 20, 30]), np.array([5, 5, 4, 1])
+    tags = P.decode_lanes(p, buf, start, many)
+    for lane, (s, m) in enumerate(zip(start, many)):
+        em = P.emissions(p, buf[s : s + m][:, None])[0][:, 0]
+        score = lambda path: p["start"][path[0]] + sum(em[t, k] for t, k in enumerate(path)) + sum(p["move"][a, b] for a, b in zip(path, path[1:]))  # noqa: E731, B023
+        best = max(itertools.product(range(P.TAGS), repeat=int(m)), key=score)
+        assert score(tuple(tags[:m, lane])) == pytest.approx(score(best), abs=1e-4)
+
+
+def test_held_out_spans(params) -> None:
+    text, tags, span = P.labelled_text(1234, 60_000)
+    got = {(s, e, k) for _, k, s, e in P.reconcile(*P.raw_spans(params, text, np.array([0, len(text)])))}
+    want = set()
+    for n in np.unique(span[span > 0]):
+        at = np.flatnonzero(span == n)
+        want.add((int(at[0]), int(at[-1]) + 1, int(tags[at[0]]) - 1))
+    hit = len(got & want)
+    assert hit / len(want) > 0.9 and hit / len(got) > 0.85  # exact bounds; formats in even numbers, harder than those of documents
+
+
+def test_windows_make_no_difference(params) -> None:
+    """A span is found wherever it lies against the windows' edges, and once."""
+    secret = "write to jane.doe77@mail3.example.com or token = \"0123456789abcdef0123456789abcdef01234567\" now "
+    for shift in range(0, P.WINDOW, 37):
+        text = ("lorem ther and " * 80)[: P.WINDOW - 60 + shift] + " " + secret + "and of the " * 60
+        buf, off = B.utf8(pa.array([text]))
+        found = [(P.KINDS[k], text[s:e]) for _, k, s, e in P.reconcile(*P.raw_spans(params, buf, off))]
+        assert found == [("EMAIL", "jane.doe77@mail3.example.com"), ("SECRET", "0123456789abcdef0123456789abcdef01234567")], shift
+
+
+def test_reconciliation() -> None:
+    rows = np.array([(0, 1, 5, 9), (0, 1, 8, 12), (0, 1, 12, 13), (0, 2, 10, 11), (0, 2, 20, 30), (0, 3, 28, 50), (1, 1, 8, 9), (0, 1, 5, 9)])
+    assert P.reconcile(*rows.T) == [(0, 1, 5, 13), (0, 3, 28, 50), (1, 1, 8, 9)]
+
+
+def test_documents(spark, params) -> None:
+    rows = [*AWKWARD, (30, "Ünï ç 漢字 mail und.34@mail7.example.com; tel +1 (743) 555-3824, 4785380592391139 et 70.23.22.57."), (31, "Licensed under CC BY-NC 4.0. version 3. clean text, 12 apples")]
+    got = P.find_pii(clashing(docs(spark, rows)), params=params).collect()
+    text = dict(rows)
+    for r in got:
+        assert text[r.doc_id][r.char_start : r.char_end] == r.value
+    assert [(r.kind, r.value) for r in sorted(got, key=lambda r: r.char_start) if r.doc_id == 30] == [("EMAIL", "und.34@mail7.example.com"), ("PHONE", "+1 (743) 555-3824"), ("CARD", "4785380592391139"), ("IP", "70.23.22.57")]
+    assert not [r for r in got if r.doc_id in (1, 2, 3, 4, 5, 8, 31)]
+    assert P.find_pii(docs(spark, []), params=params).isEmpty()
+
+
+def test_against_patterns_on_given_documents(spark, params) -> None:
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {(r.doc_id, r.value) for r in P.find_pii(d, params=params).collect()}
+    patterns = (r"[\w.]+@[\w.]+\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<!\d)\d{16}(?!\d)", r"(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])", r"\b[0-9a-f]{40}\b")
+    want = {(r.doc_id, m) for r in d.collect() for p in patterns for m in re.findall(p, r.text)}
+    assert len(got & want) >= 0.9 * len(want)
+    assert len(got - want) <= 0.1 * len(want) + 1
