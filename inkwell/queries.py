@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -169,10 +169,19 @@ def bm25_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(bm25_sum(F.col("x.tf"), F.col("x.df"), F.col("doc_len"), F.col("n"), F.col("avgdl")), 6).alias("score"))
 
 
-def global_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequencies among live documents only (here those that are not CONFIG)."""
+def _global_df(spark: SparkSession, sf_dir: str, of: Column) -> DataFrame:
     t = _tables(spark, sf_dir)
-    return D.global_df(t.postings, t.docs.where("doc_type <> 'CONFIG'"), F.col("term").startswith("th"))
+    return D.global_df(t.postings, t.docs.where("doc_type <> 'CONFIG'"), of)
+
+
+def global_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of the terms in th* among live documents only (here those that are not CONFIG)."""
+    return _global_df(spark, sf_dir, F.col("term").startswith("th"))
+
+
+def global_df_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every term."""
+    return _global_df(spark, sf_dir, F.lit(True))
 
 
 def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,20 +249,36 @@ def total_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(_tables(spark, sf_dir), parse("the OR der")).agg(F.count("*").alias("total_matches"))
 
 
-def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deltas of each term's document ids, by lag over the term's postings."""
-    own = _tables(spark, sf_dir).postings.where(F.col("term").startswith("than"))
+def _deltas(own: DataFrame) -> DataFrame:
     w = Window.partitionBy("term").orderBy("doc_id")
     return own.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("delta"))
 
 
-def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position lists through delta arrays and back, with the bytes that they take as varints."""
-    own = _tables(spark, sf_dir).postings.where("term = 'is'")
+def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of document ids, by lag over a term's postings, of the terms in than*."""
+    return _deltas(_tables(spark, sf_dir).postings.where(F.col("term").startswith("than")))
+
+
+def delta_encode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every term."""
+    return _deltas(_tables(spark, sf_dir).postings)
+
+
+def _round_trip(own: DataFrame) -> DataFrame:
     d = codecs.delta_array(F.col("positions"))
     bytes_ = F.aggregate(d, F.lit(0), lambda a, x: a + codecs.varint_size_column(x))
     back = codecs.undelta_array(d)
-    return own.select("doc_id", (back == F.col("positions").cast("array<bigint>")).alias("same"), bytes_.cast("long").alias("n_bytes"))
+    return own.select("term", "doc_id", (back == F.col("positions").cast("array<bigint>")).alias("same"), bytes_.cast("long").alias("n_bytes"))
+
+
+def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position lists of the term "is" through delta arrays and back, with the bytes that they take as varints."""
+    return _round_trip(_tables(spark, sf_dir).postings.where("term = 'is'")).drop("term")
+
+
+def delta_round_trip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every term."""
+    return _round_trip(_tables(spark, sf_dir).postings)
 
 
 def skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +343,7 @@ def queries() -> dict[str, Query]:
     out = {name: _found(q) for name, (q, _) in _SEARCHES.items()}
     out |= {"topk": _top("tion OR queque", 25), "sort_mtime": _top("the AND of sort:mtime", 50), "sort_size": _top("the AND of sort:size", 50), "limit_zero": _top("the", 0)}
     out["strict_phrase"] = _found('"of the"', strict=True)
-    for f in (tokens, tokens_stop_words, token_offsets, doc_metadata, doc_stats, postings, positions, dictionary, dictionary_prefix, idf_table, bm25_multi, global_df, changed_since, find_by_path, find_by_id, table_insert, table_update, table_delete, table_clear, incremental_diff, merge_segments, status, total_matches, delta_encode, delta_round_trip, skip_list, content_crc, snippets, search_json, pages_search):
+    for f in (tokens, tokens_stop_words, token_offsets, doc_metadata, doc_stats, postings, positions, dictionary, dictionary_prefix, idf_table, bm25_multi, global_df, global_df_all, changed_since, find_by_path, find_by_id, table_insert, table_update, table_delete, table_clear, incremental_diff, merge_segments, status, total_matches, delta_encode, delta_encode_all, delta_round_trip, delta_round_trip_all, skip_list, content_crc, snippets, search_json, pages_search):
         out[f.__name__] = f
     return out
 
