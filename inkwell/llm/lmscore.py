@@ -247,15 +247,16 @@ def _by_automaton(src: DataFrame, probs: list[DataFrame], rest: list[DataFrame],
 
 
 def _by_joins(src: DataFrame, probs: list[DataFrame], rest: list[DataFrame], kind: str) -> DataFrame:
-    """The same scores without a model in memory: each document's distinct runs look up every order."""
+    """The same scores without a model in memory: each row's distinct runs look up every order. src: (row, doc_id, t), `row` a fixed key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in B.steps(batches, "t"):
             keys, o = run_keys(buf, off)
             both, m = np.unique((np.repeat(np.arange(len(off) - 1), np.diff(o)) << 40) | keys, return_counts=True)
-            yield pa.record_batch([part.column(0).take(pa.array(both >> 40)), pa.array(both & _mask(ORDER)), pa.array(m)], ["doc_id", "key", "m"])
+            at = pa.array(both >> 40)
+            yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(both & _mask(ORDER)), pa.array(m)], ["row", "doc_id", "key", "m"])
 
-    x = src.mapInArrow(run, f"doc_id {kind}, key long, m long")
+    x = src.mapInArrow(run, f"row long, doc_id {kind}, key long, m long")
     for k in range(ORDER, 0, -1):
         p = probs[k - 1].select(F.col("key").alias(f"k{k}"), F.log("p").alias(f"p{k}"))
         g = rest[k - 1].select(F.col("ctx").alias(f"c{k}"), F.log("g").alias(f"g{k}"))
@@ -265,14 +266,11 @@ def _by_joins(src: DataFrame, probs: list[DataFrame], rest: list[DataFrame], kin
     for k in range(1, ORDER + 1):
         lower = F.coalesce(f"g{k}", F.lit(0.0)) + score if k > 1 else score
         score = F.when(F.col(f"p{k}").isNotNull(), F.col(f"p{k}")).otherwise(lower)
-    return x.groupBy("doc_id").agg(F.sum("m").alias("n_symbols"), F.sum(score * F.col("m")).alias("logprob"))
+    return x.groupBy("row", "doc_id").agg(F.sum("m").alias("n_symbols"), F.sum(score * F.col("m")).alias("logprob"))
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cutoffs: tuple[int, ...] = CUTOFFS, discount: float = DISCOUNT, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
-    """(doc_id, n_symbols, logprob, bits_per_symbol) of every document under the model of all documents.
-
-    Beyond `broadcast_ngrams`, rows that share an id come as one row with their sums.
-    """
+    """(doc_id, n_symbols, logprob, bits_per_symbol) of every document under the model of all documents."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     with Scratch(docs.sparkSession) as scratch:
@@ -283,4 +281,6 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             return docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_symbols long, logprob double, bits_per_symbol double")
         if kept <= broadcast_ngrams:
             return _bits(_by_automaton(src, probs, rest, kind))
-        return cut(_bits(_by_joins(src, probs, rest, kind)))
+        # written, so that a retried task finds the same numbers
+        keyed = scratch.table(src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t"))
+        return cut(_bits(_by_joins(keyed, probs, rest, kind)))
