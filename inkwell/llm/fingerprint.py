@@ -7,8 +7,9 @@ sweeps to labels below 3, still unequal between neighbours. Local maxima, and lo
 two or three symbols (four at a text's edges). A phrase's name, a hash of its symbols, is a symbol of the next level.
 
 Where phrases begin depends on a few neighbours only, so equal substrings, at whatever offsets, are parsed alike but for a margin
-at both ends, and share the names of their interior phrases at every level. A fingerprint has the names of `level` (about 80
-bytes a phrase at level 5) as signatures, and the name of the whole text as root.
+at both ends, and share the names of their interior phrases at every level; the margins add up over the levels. A fingerprint has the names of `level`
+(about 80 bytes a phrase at level 5) as signatures, those of `fine` as fine signatures, in which shared passages of 50 words meet
+that are too short for `level` (but for some that only repeat a few words), and the name of the whole text as root.
 
 Defined results: NULL and empty texts have no signatures, no levels and root 0; equal texts, and only those (but for collisions of
 64-bit hashes), have equal roots; a text too short for the level has its root as the only signature; repeated rows have equal
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import bytesops as B
 
 LEVEL = 5
+FINE = 4
 ROUNDS = 4
 _LOWBIT = np.array([(x & -x).bit_length() - 1 if x else 0 for x in range(256)], np.uint8)
 
@@ -111,24 +113,25 @@ def parse_level(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return name, np.searchsorted(at, off)
 
 
-def fingerprint(buf: np.ndarray, off: np.ndarray, level: int = LEVEL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts in bytes: levels until one name is left, that name, and flat sorted distinct signatures with offsets."""
+def signed(buf: np.ndarray, off: np.ndarray, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """For texts in bytes: levels until one name is left, that name, and for each of `levels` flat sorted distinct signatures with offsets."""
     m = len(off) - 1
     x = B.mix(buf.astype(B.U), 9)
     depth, root = np.zeros(m, np.int64), np.zeros(m, B.U)
-    sig: list[tuple[np.ndarray, np.ndarray]] = []
+    sig: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in levels]
     ids, at = np.arange(m), off
     k = 0
     while len(ids):
         size = np.diff(at)
         done = size <= 1
-        if k >= level and k == level:
-            sig.append((np.repeat(ids, size), x))
         one = done & (size == 1)
         root[ids[one]] = x[at[:-1][one]]
         depth[ids[one]] = k
-        if k < level:
-            sig.append((ids[one], x[at[:-1][one]]))
+        for level, own in zip(levels, sig):
+            if k == level:
+                own.append((np.repeat(ids, size), x))
+            if k < level:
+                own.append((ids[one], x[at[:-1][one]]))
         if done.any():
             stay = np.repeat(~done, size)
             x, ids, at = x[stay], ids[~done], np.concatenate([[0], np.cumsum(size[~done])])
@@ -136,27 +139,37 @@ def fingerprint(buf: np.ndarray, off: np.ndarray, level: int = LEVEL) -> tuple[n
             break
         x, at = parse_level(x, at)
         k += 1
+    return depth, root, [_distinct(own, m) for own in sig]
+
+
+def _distinct(sig: list[tuple[np.ndarray, np.ndarray]], m: int) -> tuple[np.ndarray, np.ndarray]:
     text, value = np.concatenate([t for t, _ in sig] or [np.zeros(0, np.int64)]), np.concatenate([v for _, v in sig] or [np.zeros(0, B.U)])
     o = np.lexsort((value.view(np.int64), text))
     text, value = text[o], value[o]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     text, value = text[new], value[new]
-    return depth, root, value, np.searchsorted(text, np.arange(m + 1))
+    return value, np.searchsorted(text, np.arange(m + 1))
+
+
+def fingerprint(buf: np.ndarray, off: np.ndarray, level: int = LEVEL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of one level: levels, root, signatures, offsets."""
+    depth, root, [(value, o)] = signed(buf, off, (level,))
+    return depth, root, value, o
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL) -> DataFrame:
-    """(doc_id, n_bytes, n_levels, root, signatures) of every document; each text is parsed where it is, without a shuffle."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, fine: int = FINE) -> DataFrame:
+    """(doc_id, n_bytes, n_levels, root, signatures, fine_signatures) of every document; each text is parsed where it is, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in B.steps(batches, "t"):
-            depth, root, value, o = fingerprint(buf, off, level)
-            yield pa.record_batch([part.column(0), pa.array(np.diff(off)), pa.array(depth.astype(np.int32)), pa.array(root.view(np.int64)), B.ragged(value, o)], ["doc_id", "n_bytes", "n_levels", "root", "signatures"])
+            depth, root, sig = signed(buf, off, (level, fine))
+            yield pa.record_batch([part.column(0), pa.array(np.diff(off)), pa.array(depth.astype(np.int32)), pa.array(root.view(np.int64)), *(B.ragged(*x) for x in sig)], ["doc_id", "n_bytes", "n_levels", "root", "signatures", "fine_signatures"])
 
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return src.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_levels int, root long, signatures array<long>")
+    return src.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_levels int, root long, signatures array<long>, fine_signatures array<long>")
 
 
 def shared_passages(prints: DataFrame) -> DataFrame:
-    """(signature, documents) of the signatures that several documents have; one shuffle with partial counts."""
-    return prints.select("doc_id", F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("documents")).where("documents > 1")
+    """(signature, documents) of the fine signatures that several documents have; one shuffle with partial counts."""
+    return prints.select("doc_id", F.explode("fine_signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("documents")).where("documents > 1")
