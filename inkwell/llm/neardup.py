@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with Scratch(spark) as scratch:
         signed = scratch.table(_sign(src, width, bands, rows))
         least = signed.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-        same = scratch.table(signed.select("id", "s1", "s2").join(least.where("m > 1"), ["s1", "s2"]).where("id <> rep").select("id", "rep"))
-        lone = signed.join(same.select("id"), "id", "left_anti")
+        same = scratch.table(signed.select("id", "s1", "s2").join(least.where("m > 1"), ["s1", "s2"]).where("id <> rep").select("id", "s1", "s2", "rep"))
+        lone = signed.join(same, ["id", "s1", "s2"], "left_anti")  # other texts of the same id stay
         members = scratch.table(lone.select("id", F.explode("keys").alias("key")).withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").select("key", "id"))
         star = members.select(F.min("id").over(Window.partitionBy("key")).alias("a"), F.col("id").alias("b"))
         pairs = scratch.table(star.where("a <> b").distinct())
