@@ -11,7 +11,8 @@ the body whose node has the greatest density sum. The threshold is the least den
 elements of the subtree that are less dense, such as lists of links, are left out. Each block element begins a line.
 
 Defined results: a NULL or empty page, and one without text in its body, gives an empty text and density 0; of equal sums the node
-that comes first, and is outermost, wins; broken markup never fails; very deep trees are walked without recursion; repeated
+that comes first, and is outermost, wins; broken markup never fails, and an
+svg, template or noscript without its end tag hides nothing; very deep trees are walked without recursion; repeated
 rows give equal results; an empty table gives no rows; other columns are not read.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg".split())
+#: Those that reach to the end of a page without their end tag, as in browsers; of the others the tag alone is skipped.
+_TO_END = frozenset("script style textarea title".split())
 _NO_TEXT = _RAW | {"head"}
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: Elements that an opening tag of the key ends, if one is open within the nearest of the second set.
@@ -71,6 +74,7 @@ def parse(page: str | None) -> list[Node]:
         elif raw:
             nodes[open_[-1]].parts.append(" ")
 
+    unended: set[str] = set()
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
@@ -99,9 +103,16 @@ def parse(page: str | None) -> list[Node]:
         nodes[open_[-1]].parts.append(len(nodes) - 1)
         if tag in _VOID or m[3].endswith("/"):
             continue
+        if tag in unended:
+            continue
         if tag in _RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if end:
+                at = end.end()
+            elif tag in _TO_END:
+                at = size
+            else:
+                unended.add(tag)
             continue
         open_.append(len(nodes) - 1)
     return nodes
