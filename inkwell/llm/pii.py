@@ -4,7 +4,7 @@ Characters are the UTF-8 bytes of a text. Two LSTMs (softsign gates), one from e
 tag: outside, or inside a span of one kind. A linear-chain CRF adds transition scores; training maximises the log-likelihood of
 the tags of labelled spans by back-propagation through time and Adam, and decoding is exact (Viterbi). The labelled spans are
 drawn by a seeded generator: noisy multilingual carrier text with addresses, telephone numbers, card numbers, network addresses
-and secrets in many formats, and with harmless numbers.
+and hexadecimal secrets of 32, 40 or 64 characters (no other secrets), and with harmless numbers.
 
 A text is covered whole by windows of `WINDOW` characters that overlap by `OVERLAP`. Each window is decoded on its own; spans of
 one text are then reconciled together: overlapping or touching spans of a kind become one, and of overlapping spans of two kinds the longer wins, then the earlier.
