@@ -4,13 +4,17 @@ A shard is a run of consecutive documents of about `shard_bytes` of text. Its wo
 prefix doubling, and kept as a Burrows-Wheeler transform in a wavelet matrix with popcount ranks and every `SAMPLE`-th suffix
 position. All test phrases (the runs of `n` words of each benchmark item; a shorter item is one phrase) are searched backward
 at once, their occurrences are located by walking to sampled positions, and overlapping or touching occurrences merge into one
-removal span. Shards are independent, so work and memory follow the text; what is broadcast is the benchmark, in groups of at
-most `group` phrases, each group a pass of its own.
+removal span. Shards are independent, so work and memory follow the text.
+
+What is broadcast is the benchmark, in groups of at most `group` phrases. A shard's index is built once; the groups are searched
+in it one after the other, and a worker holds one group at a time. In each, only phrases whose rarest word (within the
+group) is in the shard are looked at. Spans are merged after all groups, so the number of groups changes nothing in the result.
 
 Defined results: words are folded (case, punctuation and white space do not matter); NULL or empty texts and texts without words
 have no spans; an item without words gives no phrase; repeated items or rows give each document its spans once; an empty table
-gives no rows. Columns other than the id and the text are ignored here, and kept by `remove_spans`. Rows are told apart by
-their ids: rows that share an id are cut alike, by all of their spans.
+gives no rows. Columns other than the id and the text are ignored by `find_spans`, and kept by `decontaminate` and
+`remove_spans`. `decontaminate` cuts every row by its own spans, where it is; `remove_spans` tells rows apart by their ids, so
+rows that share an id are cut alike, by all of their spans, and rows without an id stay whole.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +33,8 @@ from inkwell.llm.common import cut
 N_WORDS = 8
 SHARD_BYTES = 6 << 20
 SAMPLE = 16
-GROUP = 2_000_000
+#: Phrases of a group: up to about 100 MB in a worker.
+GROUP = 1_000_000
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -161,58 +166,130 @@ def _phrases(items: DataFrame, text_col: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, off in B.steps(batches, "t"):
             h, _, _, w = B.words(buf, off)
-            rows = [h[i : i + n] for a, b in zip(w[:-1], w[1:]) for i in range(a, max(a + 1, b - n + 1)) if b > a]
-            rows = [r[: int(min(n, len(r)))] for r in rows]
-            short = [h[a:b] for a, b in zip(w[:-1], w[1:]) if 0 < b - a < n]
-            rows = [r for r in rows if len(r) == n] + short
-            yield pa.record_batch([pa.array([r.view(np.int64).tolist() for r in rows], pa.list_(pa.int64()))], ["p"])
-
-    return items.select(F.col(text_col).alias("t")).mapInArrow(run, "p array<long>").distinct()
+            size = np.diff(w)
+            many = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
+            length = np.repeat(np.minimum(size, n), many)
+            first = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(w[:-1], many)
+            end = np.cumsum(length)
+            at = np.arange(length.sum()) - np.repeat(end - length, length) + np.repeat(first, length)
+            yield pa.record_batch([B.ragged(h[at], np.concatenate([[0], end]))], ["p"])
+
+    return items.select(F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "p array<long>").distinct()
+
+
+class Phrases:
+    """A group of phrases by the numbers of their words, and of each word the phrases whose rarest it is."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.words, number = np.unique(flat, return_inverse=True)
+        self.lengths = lengths.astype(np.int32)
+        m, width = len(lengths), int(lengths.max(initial=1))
+        self.ids = np.full((m, width), -1, np.int32)
+        inside = np.arange(width) < lengths[:, None]
+        self.ids[inside] = number
+        often = np.append(np.bincount(number, minlength=len(self.words)), len(flat) + 1)
+        rarest = self.ids[np.arange(m), often[self.ids].argmin(axis=1)] if m else np.zeros(0, np.int64)
+        self.order = np.argsort(rarest, kind="stable").astype(np.int32)
+        self.first = np.searchsorted(rarest[self.order], np.arange(len(self.words) + 1))
+
+    def within(self, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases whose words are all in a sorted vocabulary, as numbers in it, and their lengths."""
+        at = np.searchsorted(self.words, vocab)
+        at[at == len(self.words)] = 0
+        hit = np.flatnonzero(self.words[at] == vocab) if len(self.words) else np.zeros(0, np.int64)
+        symbol = np.full(len(self.words) + 1, -1, np.int64)
+        symbol[at[hit]] = hit
+        many = self.first[at[hit] + 1] - self.first[at[hit]]
+        own = self.order[np.repeat(self.first[at[hit]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        ids = self.ids[own]
+        keep = ((symbol[ids] >= 0) | (ids < 0)).all(axis=1)
+        return symbol[ids[keep]], self.lengths[own[keep]].astype(np.int64)
+
+
+class Shard:
+    """The words of some texts; their FM-index is built when a phrase may be there."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        h, self.s, self.e, self.w = B.words(buf, off)
+        self.vocab, self.t = np.unique(h, return_inverse=True)
+        self.index: FMIndex | None = None
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and number of words of every occurrence."""
+        none = (np.zeros(0, np.int64),) * 3
+        if not len(self.vocab):
+            return none
+        own, lengths = phrases.within(self.vocab)
+        if not len(own):
+            return none
+        counts = np.diff(self.w)
+        if self.index is None:  # 1 stands between texts, 0 ends the shard
+            seq = np.ones(len(self.t) + len(counts) + 1, np.int64)
+            seq[np.arange(len(self.t)) + np.repeat(np.arange(len(counts)), counts)] = self.t + 2
+            seq[-1] = 0
+            self.index = FMIndex(seq, len(self.vocab) + 2)
+        lo, hi = self.index.search(own + 2, lengths)
+        many = hi - lo
+        at = self.index.locate(np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+        text = np.searchsorted(self.w[:-1] + np.arange(len(counts)), at, "right") - 1
+        return text, at - text - self.w[text], np.repeat(lengths, many)
+
+    def spans(self, groups: Iterator[Phrases]) -> tuple[np.ndarray, ...]:
+        """Merged spans in order: text, first word, end word, first and end byte, occurrences."""
+        found = [self.occurrences(g) for g in groups]
+        text, word, many = (np.concatenate([f[k] for f in found]) for k in range(3))
+        o = np.lexsort((word, text))
+        text, word, stop = text[o], word[o], (word + many)[o]
+        if not len(text):
+            return (text,) * 6
+        reach = np.maximum.accumulate(stop + text * (1 << 40))  # a phrase never crosses texts
+        new = np.ones(len(text), bool)
+        new[1:] = word[1:] + text[1:] * (1 << 40) > reach[:-1]
+        first = np.flatnonzero(new)
+        text, start, stop, n = text[first], word[first], np.maximum.reduceat(stop, first), np.diff(np.append(first, len(text)))
+        return text, start, stop, self.s[self.w[text] + start], self.e[self.w[text] + stop - 1], n
 
 
-def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """Consecutive documents until their text exceeds `most` bytes."""
-    ids, bufs, offs, total = [], [], [], 0
-    for rows, buf, off in B.steps(batches, "t", most):
+def _shards(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Consecutive rows until their text exceeds `most` bytes."""
+    rows, bufs, offs, total = [], [], [], 0
+    for part, buf, off in B.steps(batches, column, most):
         if total and total + len(buf) > most:
-            yield ids, np.concatenate(bufs), np.concatenate([*offs, [total]])
-            ids, bufs, offs, total = [], [], [], 0
-        ids += rows.column(0).to_pylist()
+            yield rows, np.concatenate(bufs), np.concatenate([*offs, [total]])
+            rows, bufs, offs, total = [], [], [], 0
+        rows.append(part)
         bufs.append(buf)
         offs.append(off[:-1] + total)
         total += len(buf)
-    if ids:
-        yield ids, np.concatenate(bufs), np.concatenate([*offs, [total]])
-
-
-def shard_spans(buf: np.ndarray, off: np.ndarray, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Occurrences of the phrases in one shard: text, first word, words, first and last byte, phrase."""
-    h, s, e, w = B.words(buf, off)
-    none = (np.zeros(0, np.int64),) * 6
-    vocab, t = np.unique(h, return_inverse=True)
-    if not len(vocab) or not len(phrases):
-        return none
-    own = np.minimum(np.searchsorted(vocab, phrases), len(vocab) - 1)
-    inside = np.arange(phrases.shape[1]) < lengths[:, None]
-    keep = np.flatnonzero(((vocab[own] == phrases) | ~inside).all(axis=1))  # others have a word that is nowhere in the shard
-    if not len(keep):
-        return none
-    # 1 stands between texts, 0 ends the shard
-    counts = np.diff(w)
-    text_of = np.repeat(np.arange(len(counts)), counts)
-    seq = np.ones(len(h) + len(counts) + 1, np.int64)
-    seq[np.arange(len(h)) + text_of] = t + 2
-    seq[-1] = 0
-    index = FMIndex(seq, len(vocab) + 2)
-    lo, hi = index.search(own[keep] + 2, lengths[keep])
-    many = hi - lo
-    which = np.repeat(keep, many)
-    rows = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    at = index.locate(rows)
-    text = np.searchsorted(w[:-1] + np.arange(len(counts)), at, "right") - 1
-    word = at - text  # index in the list of words
-    last = word + lengths[which] - 1
-    return text, word - w[text], lengths[which], s[word], e[last], which
+    if rows:
+        yield rows, np.concatenate(bufs), np.concatenate([*offs, [total]])
+
+
+class _Groups:
+    """The broadcast groups of phrases; of several, a worker keeps only the one in use."""
+
+    def __init__(self, sent: list):
+        self.sent = sent
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for b in self.sent:
+            yield b.value
+            if len(self.sent) > 1 and hasattr(b, "_path"):
+                b.__dict__.pop("_value", None)  # read again from the worker's disk when needed
+
+
+def _groups(spark: SparkSession, benchmark: DataFrame, text_col: str, n: int, group: int) -> _Groups:
+    """All phrases of the benchmark, broadcast group by group: the driver, too, holds one at a time."""
+    found = cut(_phrases(benchmark, text_col, n))
+    parts = max(1, -(-found.count() // group))
+    sent = []
+    for part in range(parts):
+        own = found.where(F.pmod(F.xxhash64("p"), F.lit(parts)) == part).toArrow()["p"].combine_chunks()
+        own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) and own.num_chunks else own
+        lengths = own.value_lengths().to_numpy(zero_copy_only=False) if len(own) else np.zeros(0, np.int64)
+        flat = own.flatten().to_numpy().view(B.U) if len(own) else np.zeros(0, B.U)
+        sent.append(spark.sparkContext.broadcast(Phrases(flat, lengths)))
+    return _Groups(sent)
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", n: int = N_WORDS, shard_bytes: int = SHARD_BYTES, group: int = GROUP) -> DataFrame:
@@ -220,64 +297,52 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     n_phrases counts the phrase occurrences that the span merges.
     """
-    found = cut(_phrases(benchmark, item_text_col, n))
-    parts = max(1, -(-found.count() // group))
+    groups = _groups(docs.sparkSession, benchmark, item_text_col, n, group)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in ("start_word", "end_word", "char_start", "char_end", "n_phrases")]])
-    id_arrow = pa.int64() if isinstance(kind, T.LongType) else None
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    out = None
-    for part in range(parts):
-        rows = [r[0] for r in found.where(F.pmod(F.hash("p"), F.lit(parts)) == part).toLocalIterator()]
-        lengths = np.array([len(r) for r in rows], np.int64)
-        table = np.zeros((len(rows), int(lengths.max(initial=1))), np.int64)
-        for k, r in enumerate(rows):
-            table[k, : len(r)] = r
-        sent = docs.sparkSession.sparkContext.broadcast((table.view(B.U), lengths))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            phrases, lengths = sent.value
-            for ids, buf, off in _shards(batches, shard_bytes):
-                text, word, many, s, e, _ = shard_spans(buf, off, phrases, lengths)
-                o = np.lexsort((word, text))
-                text, word, stop, s, e = text[o], word[o], (word + many)[o], s[o], e[o]
-                if not len(text):
-                    continue
-                reach = np.maximum.accumulate(stop + text * (1 << 40))  # a phrase never crosses texts
-                new = np.ones(len(text), bool)
-                new[1:] = word[1:] + text[1:] * (1 << 40) > reach[:-1]
-                first = np.flatnonzero(new)
-                chars = B.char_index(buf, np.concatenate([off, s, e]))
-                base, cs, ce = np.split(chars, [len(off), len(off) + len(s)])
-                yield pa.record_batch(
-                    [
-                        pa.array([ids[x] for x in text[first]], id_arrow),
-                        pa.array(word[first]),
-                        pa.array(np.maximum.reduceat(stop, first)),
-                        pa.array(cs[first] - base[text[first]]),
-                        pa.array(np.maximum.reduceat(ce, first) - base[text[first]]),
-                        pa.array(np.diff(np.append(first, len(text)))),
-                    ],
-                    schema.names,
-                )
-
-        spans = src.mapInArrow(run, schema)
-        out = spans if out is None else out.unionByName(spans)
-    if parts > 1:
-        out = _merge(out)
-    return out.distinct().withColumnRenamed("id", id_col) if id_col != "id" else out.distinct()
-
-
-def _merge(spans: DataFrame) -> DataFrame:
-    """Spans of several passes merged again."""
-    w = "partition by id order by start_word, end_word"
-    return (
-        spans.withColumn("before", F.expr(f"max(end_word) over ({w} rows between unbounded preceding and 1 preceding)"))
-        .withColumn("k", F.expr(f"sum(int(before is null or start_word > before)) over ({w})"))
-        .groupBy("id", "k")
-        .agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.sum("n_phrases").alias("n_phrases"))
-        .drop("k")
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in _shards(batches, "t", shard_bytes):
+            text, start, stop, s, e, many = Shard(buf, off).spans(groups)
+            if not len(text):
+                continue
+            ids = pa.chunked_array([r.column(0) for r in rows]).take(pa.array(text)).combine_chunks()
+            chars = B.char_index(buf, np.concatenate([off, s, e]))
+            base, cs, ce = np.split(chars, [len(off), len(off) + len(s)])
+            yield pa.record_batch([ids, *map(pa.array, (start, stop, cs - base[text], ce - base[text], many))], schema.names)
+
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    out = src.mapInArrow(run, schema).distinct()
+    return out.withColumnRenamed("id", id_col) if id_col != "id" else out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_text_col: str = "text", n: int = N_WORDS, shard_bytes: int = SHARD_BYTES, group: int = GROUP) -> DataFrame:
+    """docs without the passages that benchmark items share, all columns kept in order; a document that keeps no word goes.
+
+    Every row is cut where it is, by its own spans, so no text is shuffled. Rows without spans stay as they are.
+    """
+    groups = _groups(docs.sparkSession, benchmark, item_text_col, n, group)
+    at, schema = docs.columns.index(text_col), docs.schema
+    names = [f"c{k}" for k in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in _shards(batches, "t", shard_bytes):
+            shard = Shard(buf, off)
+            text, start, stop, s, e, _ = shard.spans(groups)
+            table = pa.Table.from_batches(rows).drop_columns(["t"])
+            if len(text):
+                own, raw, col = table.column(at).to_pylist(), buf.tobytes(), table.schema.field(at)
+                lost = np.bincount(text, stop - start, len(off) - 1)
+                edges = np.searchsorted(text, np.arange(len(off)))
+                for k in np.unique(text):
+                    cuts = slice(edges[k], edges[k + 1])
+                    own[k] = b"".join(raw[a:b] for a, b in zip([off[k], *e[cuts]], [*s[cuts], off[k + 1]])).decode()
+                keep = (lost == 0) | (lost < np.diff(shard.w))
+                table = table.set_column(at, col, pa.array(own, col.type)).filter(pa.array(keep))
+            yield from table.rename_columns(schema.names).to_batches()
+
+    columns = [F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names)]
+    return docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, schema)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,18 +350,25 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
 
     Documents without spans stay as they are, whatever they hold. Spans of one id that overlap count once.
     """
-    per = spans.groupBy(F.col(id_col).alias("__ink_id")).agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("__ink_cuts"))
-    text = F.col(text_col)
-    left = F.aggregate(
-        F.col("__ink_cuts"),
-        F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at")),
-        lambda acc, x: F.struct(
-            F.concat(acc["kept"], F.when(x["char_start"] > acc["at"], F.substring(text, (acc["at"] + 1).cast("int"), (x["char_start"] - acc["at"]).cast("int"))).otherwise(F.lit(""))).alias("kept"),
-            F.greatest(acc["at"], x["char_end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    joined = docs.join(per, docs[id_col] == per["__ink_id"], "left")
-    done = joined.withColumn("__ink_left", F.when(F.col("__ink_cuts").isNull(), text).otherwise(left))
-    done = done.where(F.col("__ink_cuts").isNull() | F.col("__ink_left").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
-    return done.select(*[F.col("__ink_left").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    per = spans.groupBy(F.col(f"`{id_col}`").alias("__ink_id")).agg(F.sort_array(F.collect_set(F.struct("char_start", "char_end"))).alias("__ink_cuts"))
+    text = F.col(f"`{text_col}`")
+
+    @F.arrow_udf("string")
+    def left(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for t, ss, es in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+            if t is None or ss is None:
+                out.append(t)
+                continue
+            parts, done = [], 0
+            for s, e in zip(ss, es):
+                parts.append(t[done:s])
+                done = max(done, e)
+            out.append("".join([*parts, t[done:]]))
+        return pa.array(out, pa.string())
+
+    joined = docs.join(per, docs[f"`{id_col}`"] == per["__ink_id"], "left")
+    has = F.col("__ink_cuts").isNotNull()
+    done = joined.withColumn("__ink_left", left(F.when(has, text.cast("string")), F.col("__ink_cuts.char_start"), F.col("__ink_cuts.char_end")))
+    done = done.where(~has | F.col("__ink_left").rlike(r"[A-Za-z0-9\x{80}-\x{10FFFF}]"))
+    return done.select(*[F.when(has, F.col("__ink_left")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -12,7 +12,8 @@ elements of the subtree that are less dense, such as lists of links, are left ou
 
 Defined results: a NULL or empty page, and one without text in its body, gives an empty text and density 0; of equal sums the node
 that comes first, and is outermost, wins; broken markup never fails, and an
-svg, template or noscript without its end tag hides nothing; very deep trees are walked without recursion; repeated
+svg, template or noscript without its end tag hides nothing; a "<" that begins no tag with an end is text; very deep trees are
+walked without recursion, and the time follows the page's length, whatever is open, unended or stray in it; repeated
 rows give equal results; an empty table gives no rows; other columns are not read.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Without backtracking, so a failure costs one look ahead; after the first in a page `_Careful` takes over.
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+_MARK = re.compile("[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg".split())
 #: Those that reach to the end of a page without their end tag, as in browsers; of the others the tag alone is skipped.
@@ -62,59 +67,132 @@ class Node:
     total: float = 0.0
 
 
+class _Careful:
+    """Ends of tags in a page in which some have none: a place from which no end is reached is never looked at twice."""
+
+    def __init__(self, page: str):
+        self.page, self.marks, self.bad = page, [m.start() for m in _MARK.finditer(page)], set()
+        self.next: dict[str, list[int]] = {q: [k for k in self.marks if page[k] == q] for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose name ends at `at`, or -1."""
+        seen = []
+        while True:
+            k = bisect_left(self.marks, at)
+            if k == len(self.marks) or self.marks[k] in self.bad:
+                break
+            mark = self.marks[k]
+            if (quote := self.page[mark]) == ">":
+                return mark
+            seen.append(mark)
+            own = self.next[quote]
+            k = bisect_right(own, mark)
+            if k == len(own):
+                break
+            at = own[k] + 1
+        self.bad.update(seen)
+        return -1
+
+
+class _Open:
+    """Open elements, with the depths of each tag among them."""
+
+    def __init__(self):
+        self.ids, self.tags, self.depths = [0], [""], {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.depths.setdefault(tag, []).append(len(self.ids))
+        self.ids.append(node)
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        """The greatest depth of a tag, 0 if it is not open."""
+        own = self.depths.get(tag)
+        return own[-1] if own else 0
+
+    def close(self, depth: int) -> None:
+        """Ends all elements from this depth on."""
+        while len(self.ids) > depth:
+            self.ids.pop()
+            self.depths[self.tags.pop()].pop()
+
+
 def parse(page: str | None) -> list[Node]:
     """The nodes in document order; node 0 is the root, and a node comes after its parent."""
-    nodes, open_ = [Node("", -1)], [0]
+    nodes, open_ = [Node("", -1)], _Open()
     page = page or ""
     at, size = 0, len(page)
+    careful: _Careful | None = None
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            nodes[open_[-1]].parts.append(html.unescape(raw) if "&" in raw else raw)
+            nodes[open_.ids[-1]].parts.append(html.unescape(raw) if "&" in raw else raw)
         elif raw:
-            nodes[open_[-1]].parts.append(" ")
+            nodes[open_.ids[-1]].parts.append(" ")
 
     unended: set[str] = set()
+    begin = 0  # of the text before the next tag
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(page[at:])
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 == size:
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        after = page[lt + 1]
+        if after in "!?":
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = size if end < 0 else end + 3
+            else:
+                end = page.find(">", lt) + 1
+                if not end:  # no tag ends from here on; only a comment may still begin
+                    at = page.find("<!--", lt)
+                    if at < 0:
+                        break
+                    continue
+            text(page[begin:lt])
+            at = begin = end
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in (nodes[k].tag for k in open_[:0:-1]):
-                while nodes[open_.pop()].tag != tag:
-                    pass
+        if careful is None:
+            m = _TAG.match(page, lt)
+            if m is not None:
+                closing, tag, empty, end = m[1], m[2].lower(), m[3].endswith("/"), m.end()
+            elif _NAME.match(page, lt):
+                careful = _Careful(page)
+                continue
+            else:
+                at = lt + 1
+                continue
+        else:
+            m = _NAME.match(page, lt)
+            if m is None or (gt := careful.end(m.end())) < 0:
+                at = lt + 1
+                continue
+            closing, tag, empty, end = m[1], m[2].lower(), page[gt - 1] == "/" and gt > m.end(), gt + 1
+        text(page[begin:lt])
+        at = begin = end
+        if closing:
+            if depth := open_.last(tag):
+                open_.close(depth)
             continue
         if tag in _ENDS:
             ended, within = _ENDS[tag]
-            for depth in range(len(open_) - 1, 0, -1):
-                name = nodes[open_[depth]].tag
-                if name in ended:
-                    del open_[depth:]
-                    break
-                if name in within:
-                    break
-        nodes.append(Node(tag, open_[-1]))
-        nodes[open_[-1]].parts.append(len(nodes) - 1)
-        if tag in _VOID or m[3].endswith("/"):
-            continue
-        if tag in unended:
+            depth = max(map(open_.last, ended))
+            if depth > max(map(open_.last, within)):
+                open_.close(depth)
+        nodes.append(Node(tag, open_.ids[-1]))
+        nodes[open_.ids[-1]].parts.append(len(nodes) - 1)
+        if tag in _VOID or empty or tag in unended:
             continue
         if tag in _RAW:
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            if end:
-                at = end.end()
+            end_tag = re.compile(f"</{re.escape(tag)}\\s*+>", re.I).search(page, at)
+            if end_tag:
+                at = begin = end_tag.end()
             elif tag in _TO_END:
-                at = size
+                at = begin = size
             else:
                 unended.add(tag)
             continue
-        open_.append(len(nodes) - 1)
+        open_.push(len(nodes) - 1, tag)
+    text(page[begin:])
     return nodes
 
 

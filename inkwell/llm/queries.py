@@ -49,9 +49,17 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+#: The vocabulary file of the packing queries; a session may name another in the setting `inkwell.vocabulary`.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def vocabulary(spark: SparkSession) -> str:
+    return spark.conf.get("inkwell.vocabulary", VOCABULARY)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every piece of every document is packed."""
-    return packing.pack_documents(_t(spark, sf_dir, "documents"))
+    """All documents' tokens in windows, with the boundaries of the documents in them."""
+    return packing.pack_documents(_t(spark, sf_dir, "documents"), vocabulary=vocabulary(spark))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
