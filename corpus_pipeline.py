@@ -7,11 +7,14 @@ and tables, ties, repeated rows and extra columns have the results that each ope
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import decontaminate, linededup, neardup, packing, quality
-from inkwell.llm.common import shared_dir
+from inkwell.llm.common import delete, shared_dir
+from inkwell.llm.queries import vocabulary
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -41,14 +44,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that benchmark items share; documents left without a word go."""
-    spans = decontaminate.find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _sized(decontaminate.remove_spans(docs, spans))
+    """Documents without the passages that benchmark items share, each cut where it is; documents left without a word go."""
+    return _sized(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document goes: tier, window and training step."""
-    return packing.pack_documents(docs)
+    """Training windows: tokens, the boundaries of the documents in them, tier and step."""
+    return packing.pack_documents(docs, vocabulary=vocabulary(spark))
 
 
 STAGES = [
@@ -64,14 +66,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over all documents; every other stage's result is written in the shared folder and reread."""
-    import uuid
+    """The last stage's rows over all documents; every other stage's result is written in the shared folder and reread.
 
+    A stage's table goes once the next one is written. The last stage checkpoints what it reads before it returns, so nothing is left.
+    """
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{at}/{k}")
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
-    return docs
+            if k:
+                delete(spark, f"{at}/{k - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        delete(spark, at)
