@@ -10,8 +10,10 @@ suffix of hw that is a state; a failure arc leads from h to h' and weighs log g(
 state and adds weights; texts are cut into lanes that take their state from the symbols before them, which is exact as a state
 is determined by ORDER - 1 symbols, so a batch's lanes advance together in numpy.
 
-Counts cover all documents and grow with their number of distinct runs. The automaton is broadcast while the kept runs are at
-most `broadcast_ngrams`; beyond, the same scores come from joins of the documents' runs with the probability tables.
+Counts cover all documents and grow with their number of distinct runs, and nothing is pruned but what `cutoffs` say (by default
+nothing). An automaton of more than `part_runs` arcs is split by the two newest symbols of the contexts, from which all arcs and
+failures of a place go out, but for those of the shortest contexts, which every part has. Each part is broadcast and traversed on
+its own, over the places whose two symbols are its own, and a text's sums are added up: the same scores at every size.
 
 Defined results: a NULL text counts and scores as an empty one (its end symbol alone); repeated rows count and score one by one;
 NULL ids are kept; an empty table gives no rows; other columns are not read.
@@ -30,11 +32,12 @@ from inkwell.llm import bytesops as B
 from inkwell.llm.common import Scratch, cut
 
 ORDER = 5
-CUTOFFS = (1, 1, 2, 2, 2)
+CUTOFFS = (1, 1, 1, 1, 1)
 DISCOUNT = 0.75
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 LANE = 256
-BROADCAST_NGRAMS = 4_000_000
+#: Arcs of a part, which is broadcast (about 40 bytes an arc), but for the most frequent pair of symbols, which is not split.
+PART_RUNS = 4_000_000
 #: Distinct runs that a counting task holds before it hands them on.
 HELD = 3_000_000
 STEP = 1 << 20
@@ -172,15 +175,27 @@ class Automaton:
             length[todo] -= 1
         return out
 
-    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Log-probability of every text."""
+    def score(self, buf: np.ndarray, off: np.ndarray, pairs: tuple[int, int] | None = None) -> np.ndarray:
+        """Log-probability of every text, or the part of it from places whose two symbols before are in the range `pairs`."""
         sym, first = padded(buf, off)
         size = np.diff(off) + 1
-        lanes = -(-size // LANE)
-        text = np.repeat(np.arange(len(size)), lanes)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = first[text] + k * LANE
-        many = np.minimum(LANE, size[text] - k * LANE)
+        if pairs is None:
+            whole, of, length = first, np.arange(len(size)), size
+        else:
+            of = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(of)) + np.repeat(first - (np.cumsum(size) - size), size)
+            two = sym[at - 2].astype(np.int64) << 8 | sym[at - 1]
+            own = np.flatnonzero((two >= pairs[0]) & (two < pairs[1]))
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1] + 1) | (of[own[1:]] != of[own[:-1]])
+            begin = np.flatnonzero(new)
+            whole, of, length = at[own[begin]], of[own[begin]], np.diff(np.append(begin, len(own)))
+        lanes = -(-length // LANE)
+        run = np.repeat(np.arange(len(of)), lanes)
+        k = np.arange(len(run)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = whole[run] + k * LANE
+        text = of[run]
+        many = np.minimum(LANE, length[run] - k * LANE)
         before = np.zeros(len(start), np.int64)
         for j in range(ORDER - 1, 0, -1):
             before = (before << 8) | sym[start - j]
@@ -231,56 +246,65 @@ def _bits(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_symbols", F.round("logprob", 4).alias("logprob"), F.round(-F.col("logprob") / F.lit(np.log(2.0).item()) / F.col("n_symbols"), 6).alias("bits_per_symbol"))
 
 
-def _by_automaton(src: DataFrame, probs: list[DataFrame], rest: list[DataFrame], kind: str) -> DataFrame:
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.toArrow()
-        return t.column(0).to_numpy(), t.column(1).to_numpy()
+def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = df.toArrow()
+    return t.column(0).to_numpy(), t.column(1).to_numpy()
 
-    sent = src.sparkSession.sparkContext.broadcast(Automaton([arrays(p) for p in probs], [arrays(r) for r in rest]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for part, buf, off in B.steps(batches, "t", STEP):
-            yield pa.record_batch([part.column(0), pa.array(np.diff(off) + 1), pa.array(model.score(buf, off))], ["doc_id", "n_symbols", "logprob"])
+def _parts(probs: list[DataFrame], part_runs: int) -> list[tuple[int, int] | None]:
+    """Ranges of pairs of newest context symbols with about `part_runs` arcs each; None if one automaton has all."""
+    many = sum(p.count() for p in probs)
+    if many <= part_runs:
+        return [None] if many else []
+    own = [p.select(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("two")) for p in probs[2:]]
+    by_pair = own[0]
+    for p in own[1:]:
+        by_pair = by_pair.unionAll(p)
+    pair, n = _arrays(by_pair.groupBy("two").agg(F.count("*")).orderBy("two"))  # 65,536 rows at most
+    edges = [int(x) for x in pair[np.flatnonzero(np.diff(np.cumsum(n) // part_runs)) + 1]]
+    return list(zip([0, *edges], [*edges, 1 << 16]))
+
 
-    return src.mapInArrow(run, f"doc_id {kind}, n_symbols long, logprob double")
+def _automaton(probs: list[DataFrame], rest: list[DataFrame], pairs: tuple[int, int] | None) -> Automaton:
+    def own(df: DataFrame, column: str, shift: int) -> DataFrame:
+        two = F.shiftright(column, shift).bitwiseAND(F.lit(0xFFFF))
+        return df if pairs is None else df.where((two >= pairs[0]) & (two < pairs[1]))
 
+    return Automaton([_arrays(own(p, "key", 8) if k >= 2 else p) for k, p in enumerate(probs)], [_arrays(own(r, "ctx", 0) if k >= 2 else r) for k, r in enumerate(rest)])
 
-def _by_joins(src: DataFrame, probs: list[DataFrame], rest: list[DataFrame], kind: str) -> DataFrame:
-    """The same scores without a model in memory: each row's distinct runs look up every order. src: (row, doc_id, t), `row` a fixed key."""
+
+def _scored(src: DataFrame, model: Automaton, pairs: tuple[int, int] | None) -> DataFrame:
+    """src (t last) with t replaced by n_symbols and logprob; of a part, only the first counts symbols."""
+    sent = src.sparkSession.sparkContext.broadcast(model)
+    names = [*src.columns[:-1], "n_symbols", "logprob"]
+    counts = pairs is None or pairs[0] == 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, off in B.steps(batches, "t"):
-            keys, o = run_keys(buf, off)
-            both, m = np.unique((np.repeat(np.arange(len(off) - 1), np.diff(o)) << 40) | keys, return_counts=True)
-            at = pa.array(both >> 40)
-            yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(both & _mask(ORDER)), pa.array(m)], ["row", "doc_id", "key", "m"])
-
-    x = src.mapInArrow(run, f"row long, doc_id {kind}, key long, m long")
-    for k in range(ORDER, 0, -1):
-        p = probs[k - 1].select(F.col("key").alias(f"k{k}"), F.log("p").alias(f"p{k}"))
-        g = rest[k - 1].select(F.col("ctx").alias(f"c{k}"), F.log("g").alias(f"g{k}"))
-        x = x.withColumn(f"k{k}", F.col("key").bitwiseAND(F.lit(_mask(k)))).join(p, f"k{k}", "left")
-        x = x.withColumn(f"c{k}", F.shiftright(f"k{k}", 8)).join(g, f"c{k}", "left")
-    score = F.coalesce("g1", F.lit(0.0)) - F.log(F.lit(256.0))
-    for k in range(1, ORDER + 1):
-        lower = F.coalesce(f"g{k}", F.lit(0.0)) + score if k > 1 else score
-        score = F.when(F.col(f"p{k}").isNotNull(), F.col(f"p{k}")).otherwise(lower)
-    return x.groupBy("row", "doc_id").agg(F.sum("m").alias("n_symbols"), F.sum(score * F.col("m")).alias("logprob"))
+        own = sent.value
+        for part, buf, off in B.steps(batches, "t", STEP):
+            n = np.diff(off) + 1
+            yield pa.record_batch([*part.columns[:-1], pa.array(n if counts else np.zeros_like(n)), pa.array(own.score(buf, off, pairs))], names)
+
+    kept = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in src.columns[:-1])
+    return src.mapInArrow(run, f"{kept}, n_symbols long, logprob double")
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cutoffs: tuple[int, ...] = CUTOFFS, discount: float = DISCOUNT, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cutoffs: tuple[int, ...] = CUTOFFS, discount: float = DISCOUNT, part_runs: int = PART_RUNS) -> DataFrame:
     """(doc_id, n_symbols, logprob, bits_per_symbol) of every document under the model of all documents."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     with Scratch(docs.sparkSession) as scratch:
         counts = scratch.table(count_runs(src))
         probs, rest = model_tables(counts, scratch, cutoffs, discount)
-        kept = sum(p.count() for p in probs)
-        if kept == 0:
+        parts = _parts(probs, part_runs)
+        if not parts:
             return docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_symbols long, logprob double, bits_per_symbol double")
-        if kept <= broadcast_ngrams:
-            return _bits(_by_automaton(src, probs, rest, kind))
-        # written, so that a retried task finds the same numbers
+        if parts == [None]:
+            return _bits(_scored(src, _automaton(probs, rest, None), None))
+        # rows are told apart by numbers that are written, so that a retried task finds the same
         keyed = scratch.table(src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t"))
-        return cut(_bits(_by_joins(keyed, probs, rest, kind)))
+        sums = [scratch.table(_scored(keyed, _automaton(probs, rest, pairs), pairs)) for pairs in parts]
+        every = sums[0]
+        for x in sums[1:]:
+            every = every.unionByName(x)
+        return cut(_bits(every.groupBy("row", "doc_id").agg(F.sum("n_symbols").alias("n_symbols"), F.sum("logprob").alias("logprob"))))

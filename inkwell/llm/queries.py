@@ -14,19 +14,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, marked if their canonical URL is listed. The list: the URLs on hosts that are named after adult content."""
-    pages = _t(spark, sf_dir, "pages")
-    listed = pages.where(F.lower("url").rlike("^[a-z]+://([^/]*[.])?adult[^/]*")).select("url")
-    return urlfilter.filter_urls(pages.select("page_id", "url"), listed)
-
-
 #: Host labels of the groups in `pages` that block lists usually have.
 GROUPS = "adult|casino|free-bets|cheap-pills|ads-track|spam"
 
 
-def url_filter_all_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the URLs on hosts of all GROUPS as the list."""
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, marked if their canonical URL is listed. The list: the URLs on hosts that are named after one of GROUPS."""
     pages = _t(spark, sf_dir, "pages")
     listed = pages.where(F.lower("url").rlike(f"^[a-z]+://([^/]*[.])?({GROUPS})[^/]*")).select("url")
     return urlfilter.filter_urls(pages.select("page_id", "url"), listed)
@@ -88,7 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, url_filter_all_groups, op2_quality_classifier, op3_fingerprints, op4_minhash_neardup, op5_packing, op6_html_extraction, op7_lm_scoring, op8_pii, op9_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality_classifier, op3_fingerprints, op4_minhash_neardup, op5_packing, op6_html_extraction, op7_lm_scoring, op8_pii, op9_decontamination, op10_line_dedup)}
 
 
 WORD = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
@@ -133,10 +126,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": f"""
 WITH c AS (SELECT page_id, url, {_canonical("url")} AS canonical FROM pages),
-l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(lower(url), '^[a-z]+://([^/]*[.])?adult[^/]*'))
-SELECT page_id, url, canonical, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l) AS listed FROM c""",
-        "url_filter_all_groups": f"""
-WITH c AS (SELECT page_id, url, {_canonical("url")} AS canonical FROM pages),
 l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(lower(url), '^[a-z]+://([^/]*[.])?({GROUPS})[^/]*'))
 SELECT page_id, url, canonical, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l) AS listed FROM c""",
         "op7_lm_scoring": _lm_sql(),

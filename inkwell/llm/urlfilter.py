@@ -5,9 +5,9 @@ Canonical form: no scheme, user or fragment; the host in lower case without `www
 
 The listed canonical URLs are put into a split-block Bloom filter: a 64-bit hash picks a block of eight 64-bit words and one bit in
 each. It is built by grouping on the block and or-ing words, so the list is never gathered; only the finished filter is
-broadcast, if it has at most `most_blocks` blocks (64 bytes each). Rows that miss it are not listed. Possible hits, few beside
-the whole, are joined exactly with the list, which removes false positives. A filter that would be larger is not built:
-every row is then joined exactly by a shuffle, with the same result.
+broadcast. It has `bits_per_url` bits a listed URL, up to `most_blocks` blocks of 64 bytes; a list too long for that shares the
+blocks there are, which costs more false positives and no result. Rows that miss the filter are not listed and are not moved.
+Possible hits alone, few beside the whole, are shuffled and joined exactly with the list, which removes false positives.
 
 Defined results: a NULL or blank URL is not listed and its canonical form is NULL; repeated URLs, in the table and in the list,
 are judged alike and each row stays once; an empty list lists nothing; an empty table gives no rows; all columns are kept (but
@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_URL = 16
-#: Blocks that are broadcast at most: 64 MB.
-MOST_BLOCKS = 1 << 20
+#: Blocks of a filter at most: 128 MB, enough for 67 million URLs at 16 bits.
+MOST_BLOCKS = 1 << 21
 #: Odd and below 2**31, so products with 31 bits of a hash stay within a long.
 SALTS = (0x3C6EF373, 0x5851F42D, 0x1B873593, 0x27D4EB2F, 0x6C62272F, 0x7FEB352D, 0x45D9F3B5, 0x4CF5AD43)
 _TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)"
@@ -65,33 +65,29 @@ def may_contain(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def filled(keys: DataFrame, n: int, bits: int, most_blocks: int) -> np.ndarray:
+    """The filter of n distinct hashes (h), of a size that is bounded whatever n is."""
+    blocks = min(max(1, -(-n * bits // 512)), max(1, most_blocks))
+    table = np.zeros((blocks, 8), np.uint64)
+    words = build_filter(keys, blocks).toArrow()  # at most `blocks` rows
+    at = words["block"].to_numpy()
+    for i in range(8):
+        table[at, i] = words[f"w{i}"].to_numpy().view(np.uint64)
+    return table
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", list_col: str = "url", bits_per_url: int = BITS_PER_URL, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """pages with canonical, and listed: whether the canonical URL is one of those of `listed`."""
-    spark = pages.sparkSession
     keys = listed.select(canonical(F.col(f"`{list_col}`")).alias("__ink_key")).where("__ink_key is not null").distinct()
     rows = pages.drop("canonical", "listed").withColumn("canonical", canonical(F.col(f"`{url_col}`")))
-    n = keys.count()
-    blocks = max(1, -(-n * bits_per_url // 512))
-    exact = keys.withColumn("__ink_hit", F.lit(True))
-
-    def joined(df: DataFrame) -> DataFrame:
-        return df.join(exact, df["canonical"] == exact["__ink_key"], "left").withColumn("listed", F.coalesce("__ink_hit", F.lit(False))).drop("__ink_key", "__ink_hit")
-
-    if blocks > most_blocks:
-        return joined(rows)
-    table = np.zeros((blocks, 8), np.uint64)
-    filled = build_filter(keys.select(F.xxhash64("__ink_key").alias("h")), blocks).toArrow()  # at most `blocks` rows
-    at = filled["block"].to_numpy()
-    for i in range(8):
-        table[at, i] = filled[f"w{i}"].to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(table)
+    sent = pages.sparkSession.sparkContext.broadcast(filled(keys.select(F.xxhash64("__ink_key").alias("h")), keys.count(), bits_per_url, most_blocks))
 
     @F.arrow_udf("boolean")
     def possible(h: pa.Array) -> pa.Array:
         return pa.array(may_contain(sent.value, h.to_numpy(zero_copy_only=False)))
 
     marked = rows.withColumn("__ink_possible", F.col("canonical").isNotNull() & possible(F.xxhash64("canonical")))
-    # one plan: only possible hits have a key to join by, the others keep their place
-    keyed = marked.withColumn("__ink_own", F.when(F.col("__ink_possible"), F.col("canonical")))
-    hits = keyed.join(exact, keyed["__ink_own"] == exact["__ink_key"], "left").withColumn("listed", F.coalesce("__ink_hit", F.lit(False)))
-    return hits.drop("__ink_possible", "__ink_own", "__ink_key", "__ink_hit")
+    # two branches over the source, so that misses stay out of the join's shuffle
+    missed = marked.where(~F.col("__ink_possible")).withColumn("listed", F.lit(False))
+    hits = marked.where("__ink_possible").join(keys.withColumn("__ink_hit", F.lit(True)), F.col("canonical") == F.col("__ink_key"), "left").withColumn("listed", F.coalesce("__ink_hit", F.lit(False)))
+    return missed.drop("__ink_possible").unionByName(hits.drop("__ink_possible", "__ink_key", "__ink_hit"))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from inkwell.llm import lmscore as L
-from tests.llm.helpers import AWKWARD, clashing, docs
+from tests.llm.helpers import AWKWARD, LONG, clashing, docs
 
 
 def plain_scores(texts: list[str | None]) -> list[tuple[int, float]]:
@@ -34,12 +34,12 @@ def plain_scores(texts: list[str | None]) -> list[tuple[int, float]]:
     return [(len(s) - n + 1, sum(math.log(p(s[i - n + 1 : i + 1])) for i in range(n - 1, len(s)))) for s in seqs]
 
 
-@pytest.mark.parametrize("broadcast", [L.BROADCAST_NGRAMS, 0])
-def test_equals_plain_recursion(spark, broadcast: int) -> None:
+@pytest.mark.parametrize("part_runs", [L.PART_RUNS, 150])
+def test_equals_plain_recursion(spark, part_runs: int) -> None:
     rng = random.Random(2)
     rows = [(100 + i, "".join(rng.choices("abcé \n", k=rng.choice([0, 1, 5, 300, 700])))) for i in range(40)]
-    rows += [r for r in AWKWARD if r[0] != 8 and r[0] != 7]
-    got = {r.doc_id: r for r in L.score_documents(clashing(docs(spark, rows)), broadcast_ngrams=broadcast).collect()}
+    rows += [r for r in AWKWARD if r[0] != 8] + [(300, LONG[:3000])]
+    got = {r.doc_id: r for r in L.score_documents(clashing(docs(spark, rows)), part_runs=part_runs).collect()}
     assert len(got) == len(rows)
     for (i, _), (n, logp) in zip(rows, plain_scores([t for _, t in rows])):
         assert got[i].n_symbols == n and abs(got[i].logprob - logp) < 1e-3

@@ -1,4 +1,4 @@
-"""Repeated rows and NULL ids are scored row by row, with the automaton and with joins."""
+"""Repeated rows and NULL ids are scored row by row, by one automaton and by many parts of it."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from tests.llm.helpers import AWKWARD, clashing, docs
 from tests.llm.test_lmscore import plain_scores
 
 
-@pytest.mark.parametrize("broadcast", [L.BROADCAST_NGRAMS, 0])
-def test_every_row_has_its_score(spark, broadcast: int) -> None:
-    rows = [r for r in AWKWARD if r[0] != 7]
+@pytest.mark.parametrize("part_runs", [L.PART_RUNS, 150])
+def test_every_row_has_its_score(spark, part_runs: int) -> None:
+    rows = list(AWKWARD)
     rows += [(None, "another row without an id"), (None, None), (8, "another text of the same id"), (3, "ab"), (3, "ab")]
-    got = L.score_documents(clashing(docs(spark, rows)).repartition(3), broadcast_ngrams=broadcast).collect()
+    got = L.score_documents(clashing(docs(spark, rows)).repartition(3), part_runs=part_runs).collect()
     want = Counter((i, n, round(logp, 2)) for (i, _), (n, logp) in zip(rows, plain_scores([t for _, t in rows])))
     assert len(got) == len(rows)
     assert Counter((r.doc_id, r.n_symbols, round(r.logprob, 2)) for r in got) == want

@@ -77,12 +77,31 @@ def test_large_group_of_near_copies(spark) -> None:
     assert result(N.near_duplicates(docs(spark, rows))) == brute(rows)
 
 
+def test_boilerplate_in_a_bucket(spark) -> None:
+    """Many texts share a passage, too little to be alike; among them are pairs that are, which no bucket's least id shows."""
+    rng = random.Random(7)
+    shared = [f"s{k}" for k in range(40)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i if i % 10 else i // 20}x{k}" for k in range(70)]
+        rows.append((i, " ".join(shared + own if i % 2 else own + shared)))
+    for i in range(120, 160):
+        own = shared + [f"o{i // 4}x{k}" for k in range(30)]
+        own[rng.randrange(70)] = f"u{i}"
+        rows.append((i, " ".join(own)))
+    want = brute(rows)
+    assert len(want) > 30
+    assert result(N.near_duplicates(docs(spark, rows))) == want
+    # one row a bucket: every pair must then come from the join of prefixes
+    assert result(N.near_duplicates(docs(spark, rows), bands=60, rows=1)) == want
+
+
 def test_awkward_tables(spark) -> None:
     rows = AWKWARD + [(20, "ONE!"), (21, "ünïcödé wörds 漢字 😀 MIXED.")]
     want = brute(rows)
     assert want == {20: 5, 21: 6}
     assert result(N.near_duplicates(clashing(docs(spark, rows)))) == want
-    assert result(N.near_duplicates(docs(spark, rows), broadcast_ids=0)) == want
+    assert result(N.near_duplicates(docs(spark, rows), id_blocks=1, id_bits=1)) == want
     assert result(N.near_duplicates(docs(spark, []))) == {}
 
 

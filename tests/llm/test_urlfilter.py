@@ -29,17 +29,19 @@ def test_canonical_forms(spark) -> None:
     assert {r.u: r.c for r in rows} == FORMS
 
 
-@pytest.mark.parametrize("most", [U.MOST_BLOCKS, 0])
+@pytest.mark.parametrize("most", [U.MOST_BLOCKS, 1])
 @pytest.mark.parametrize("bits", [U.BITS_PER_URL, 1])
 def test_exact_for_any_filter_size(spark, most: int, bits: int) -> None:
     rng = random.Random(bits)
     urls = [rng.choice(["http://", "https://www.", "https://m."]) + f"h{rng.randrange(40)}.org/p{rng.randrange(40)}" + rng.choice(["", "/", "#x", "?utm_a=1"]) for _ in range(900)]
-    pages = spark.createDataFrame([(i, u, 1, 2, True, "k") for i, u in enumerate(urls)] + [(1000, None, 1, 2, True, "k"), (1001, "", 1, 2, True, "k")], "page_id long, url string, h long, canonical long, listed boolean, block string")
+    pages = spark.createDataFrame([(i, u, 1, 2, True, "k") for i, u in enumerate(urls)] + [(1000, None, 1, 2, True, "k"), (1001, "", 1, 2, True, "k"), (1002, "http://h0.org/p0" + "x" * 300_000, 1, 2, True, "k")], "page_id long, url string, h long, canonical long, listed boolean, block string")
     listed = spark.createDataFrame([(f"h{k}.org/p{j}",) for k in range(0, 40, 3) for j in range(0, 40, 2)] + [("h0.org/p0",), (None,), ("",)], "url string")
     got = U.filter_urls(pages, listed, most_blocks=most, bits_per_url=bits).collect()
-    assert len(got) == 902
+    assert len(got) == 903
     for r in got:
-        if r.url:
+        if r.page_id == 1002:
+            assert len(r.canonical) == 300_009 and not r.listed
+        elif r.url:
             host, path = r.canonical.split("/")
             assert r.listed == (int(host[1:-4]) % 3 == 0 and int(path[1:]) % 2 == 0)
         else:
@@ -62,3 +64,20 @@ def test_empty(spark) -> None:
     assert [r.listed for r in U.filter_urls(pages, pages.limit(0)).collect()] == [False]
     assert U.filter_urls(pages.limit(0), pages).isEmpty()
     assert [r.listed for r in U.filter_urls(pages, pages).collect()] == [True]
+
+
+def test_misses_are_not_moved(spark) -> None:
+    """The shuffle of the exact join is over possible hits; the other branch has none."""
+    pages = spark.createDataFrame([(i, f"http://a{i}.org/") for i in range(300)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"http://a{i}.org",) for i in range(0, 300, 30)], "url string")
+    with_no_broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = U.filter_urls(pages, listed)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.page_id for r in df.where("listed").collect()) == list(range(0, 300, 30))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_no_broadcast)
+    union = plan.index("Union")
+    join = plan.index("SortMergeJoin")
+    assert "Exchange" not in plan[union:join]
