@@ -59,11 +59,15 @@ def encode(encoder, text: str) -> list[int]:
     return out + encoder.encode_ordinary(text[at:]) if out else encoder.encode_ordinary(text[at:])
 
 
-def token_pieces(docs: DataFrame, *, vocabulary: str, longest: int = TIERS[-1], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, piece, start, n, tokens): every text's tokens in pieces of at most `longest`. `row` tells source rows apart."""
+def token_pieces(docs: DataFrame, *, vocabulary: str, longest: int = TIERS[-1], id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
+    """(row, id, piece, start, n, tokens): every text's tokens in pieces of at most `longest`. `row` tells source rows apart.
+
+    `as_bytes` gives tokens as bytes in place of an array: two a token where the vocabulary has no more than 65,536, else four.
+    """
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary's size is fixed: about 1 MB
+    width = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.int32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value)
@@ -74,9 +78,15 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, longest: int = TIERS[-1],
 
             def batch(b=b) -> pa.RecordBatch:
                 n = np.array([len(t) for t in tokens], np.int64)
-                flat = pa.array(np.concatenate(tokens)) if tokens else pa.array([], pa.int32())
+                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+                offs = np.concatenate([[0], np.cumsum(n)])
+                if as_bytes:
+                    size = np.dtype(width).itemsize
+                    made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offs * size).astype(np.int32)), pa.py_buffer(flat.astype(width))])
+                else:
+                    made = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
                 own = pa.array(at, pa.int64())
-                return pa.record_batch([b.column(0).take(own), b.column(1).take(own), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)], names)
+                return pa.record_batch([b.column(0).take(own), b.column(1).take(own), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n.astype(np.int32)), made], names)
 
             for k, x in enumerate(b.column(2)):
                 own = np.array(encode(encoder, t), np.int32) if (t := x.as_py()) else np.zeros(0, np.int32)
@@ -92,7 +102,7 @@ def token_pieces(docs: DataFrame, *, vocabulary: str, longest: int = TIERS[-1],
             yield batch()
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return src.mapInArrow(run, "row long, id long, piece int, start long, n int, tokens array<int>")
+    return src.mapInArrow(run, f"row long, id long, piece int, start long, n int, tokens {'binary' if as_bytes else 'array<int>'}")
 
 
 class _Windows:
@@ -163,16 +173,17 @@ def pack(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS, step_windows: int
 
 
 def pack_group(group: int, table: pa.Table, tiers: tuple[int, ...], step_windows: int) -> pa.Table:
-    """The windows of one group's pieces (id, piece, start, n, tokens)."""
+    """The windows of one group's pieces (id, piece, start, n, tokens as bytes)."""
     table = table.combine_chunks().sort_by([("piece", "ascending"), ("start", "ascending"), ("n", "ascending"), ("mix", "ascending")])
     nulls = np.asarray(table["id"].is_null())
     ids = table["id"].fill_null(0).to_numpy()
     order = np.lexsort((np.arange(len(ids)), ids, ~nulls))  # stable; NULL ids first
     table = table.take(pa.array(order))
-    tokens = table["tokens"].combine_chunks()
-    tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-    flat, offs = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-    rows = np.array(pack(table["n"].to_numpy(), tiers, step_windows), np.int64).reshape(-1, 6)
+    n = table["n"].to_numpy()
+    raw = b"".join(table["tokens"].to_pylist())
+    flat = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n.sum() else np.int32).astype(np.int32)
+    offs = np.cumsum(n, dtype=np.int64) - n
+    rows = np.array(pack(n, tiers, step_windows), np.int64).reshape(-1, 6)
     rows = rows[np.lexsort((rows[:, 4], rows[:, 3]))]  # windows one after the other, pieces by their place
     d, many, tier, window, place, step = rows.T
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(offs[d], many)
@@ -202,7 +213,7 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id",
     """One row a window of every tier, with its tokens, the boundaries of the documents in it, and its step in its packing group."""
     tiers = tuple(sorted(tiers))
     # written once: the rows' numbers must be those that the groups are made of, and the tokens are not made twice
-    pieces = cut(token_pieces(docs, vocabulary=vocabulary, longest=tiers[-1], id_col=id_col, text_col=text_col))
+    pieces = cut(token_pieces(docs, vocabulary=vocabulary, longest=tiers[-1], id_col=id_col, text_col=text_col, as_bytes=True))
     groups = max(1, round((pieces.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) / group_tokens))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
