@@ -8,6 +8,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,8 +119,16 @@ def delta_array(values: Column) -> Column:
 
 
 def undelta_array(deltas: Column) -> Column:
-    """Running sums of an array column."""
-    return F.transform(deltas, lambda v, i: F.aggregate(F.slice(deltas, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    """Running sums of an array column, in time in proportion to its length; NULL stays."""
+
+    @F.arrow_udf("array<long>")
+    def run(col: pa.Array) -> pa.Array:
+        many = col.value_lengths().fill_null(0).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(many)])
+        sums = np.concatenate([[0], np.cumsum(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sums[1:] - np.repeat(sums[ends[:-1]], many)), mask=col.is_null())
+
+    return run(deltas)
 
 
 def varint_size_column(v: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.analysis import Analyzer, terms
@@ -33,6 +35,42 @@ def postings(content: DataFrame, analyzer: Analyzer = terms) -> DataFrame:
     )
 
 
+#: A document's distinct terms, each with its frequency and its positions.
+FORWARD = "array<struct<term:string,tf:int,positions:array<int>>>"
+
+
+def group_terms(lists: pa.ListArray) -> pa.ListArray:
+    """FORWARD rows of lists of terms: one sort of a batch's tokens by text and term; a NULL list counts as empty."""
+    many = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(many) - many, many)
+    key = text * max(len(coded.dictionary), 1) + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = np.append(first, len(key))
+    positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    own = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code[order][first])), pa.array(np.diff(ends).astype(np.int32)), positions], ["term", "tf", "positions"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[order][first], np.arange(len(many) + 1)).astype(np.int32)), own)
+
+
+def forward(terms_of: Column) -> Column:
+    """The distinct terms of an array of terms, in Arrow batches: a document is whole in its row, so no shuffle groups it."""
+
+    @F.arrow_udf(FORWARD)
+    def run(col: pa.Array) -> pa.Array:
+        return group_terms(col)
+
+    return run(terms_of)
+
+
+def from_forward(rows: DataFrame) -> DataFrame:
+    """Postings of rows (doc_id, token_count, terms), without a shuffle."""
+    return rows.select("doc_id", F.col("token_count").alias("doc_len"), F.explode("terms").alias("_t")).select("_t.term", "doc_id", "_t.tf", "doc_len", "_t.positions")
+
+
 def dictionary(posting_rows: DataFrame) -> DataFrame:
     """(term, df, cf): documents and occurrences of each term."""
     return posting_rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf").cast("long")).alias("cf"))
@@ -65,12 +103,16 @@ def check_postings(posting_rows: DataFrame) -> DataFrame:
 
 @dataclass
 class IndexTables:
-    """What a search reads. docs: (doc_id, path, extension, size_bytes, mtime, doc_type, token_count); content: (doc_id, text)."""
+    """What a search reads. docs: (doc_id, path, extension, size_bytes, mtime, doc_type, token_count); content: (doc_id, text).
+
+    Without a dictionary, frequencies are counted from the postings; without totals (documents, tokens), from docs.
+    """
 
     docs: DataFrame
     content: DataFrame
     postings: DataFrame
     dictionary: DataFrame | None = None
+    totals: tuple[int, int] | None = None
 
     @classmethod
     def of(cls, files: DataFrame, analyzer: Analyzer = terms) -> IndexTables:

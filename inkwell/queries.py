@@ -5,10 +5,11 @@ Text queries run over all documents, mapped to the search model (path, extension
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,9 +18,11 @@ from inkwell.functions import analysis, codecs, text
 from inkwell.functions.scoring import bm25_sum, idf
 from inkwell.operators import documents as D
 from inkwell.operators import postings as P
+from inkwell.operators.index import Index
 from inkwell.operators.search import matches, ranked
 from inkwell.operators.search import search as run_search
 from inkwell.plans.parser import parse, rewrite_file_name
+from inkwell.session import cut, delete, shared_dir
 from inkwell.sources.tables import pages_as_files, read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +116,8 @@ def _best(leaf: str, order: str, limit: int) -> str:
 
 # other queries
 
+MIXED = "搜あ引ク中한"
+
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "position", "term")
@@ -123,6 +128,13 @@ def tokens_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(analysis.terms(F.col("text"), stop_words=True)).alias("position", "term"))
 
 
+def tokens_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of texts in which vowels are East Asian characters, and every tenth text is NULL."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = F.when(F.col("doc_id") % 10 != 0, F.translate("text", "aeiouy", MIXED))
+    return P.tokens(d.select("doc_id", mixed.alias("text"))).select("doc_id", "position", "term")
+
+
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(analysis.tokens(F.col("text"))).alias("t"))
     return d.select("doc_id", F.col("t.pos").alias("position"), F.col("t.term").alias("term"), F.col("t.start").alias("start_offset"), F.col("t.end").alias("end_offset"))
@@ -169,19 +181,10 @@ def bm25_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(bm25_sum(F.col("x.tf"), F.col("x.df"), F.col("doc_len"), F.col("n"), F.col("avgdl")), 6).alias("score"))
 
 
-def _global_df(spark: SparkSession, sf_dir: str, of: Column) -> DataFrame:
-    t = _tables(spark, sf_dir)
-    return D.global_df(t.postings, t.docs.where("doc_type <> 'CONFIG'"), of)
-
-
 def global_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequencies of the terms in th* among live documents only (here those that are not CONFIG)."""
-    return _global_df(spark, sf_dir, F.col("term").startswith("th"))
-
-
-def global_df_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every term."""
-    return _global_df(spark, sf_dir, F.lit(True))
+    """Document frequencies of all terms among live documents only (here those that are not CONFIG)."""
+    t = _tables(spark, sf_dir)
+    return D.global_df(t.postings, t.docs.where("doc_type <> 'CONFIG'"), F.lit(True))
 
 
 def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +192,10 @@ def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that has the path of document 42, asked for with backslashes."""
     d = read_documents(spark, sf_dir)
-    return D.find_by_path(d, "\\corpus\\src3\\en\\doc_3.py").select("doc_id", "path", "size_bytes")
+    asked = D.find_by_id(d, 42).select("path").head()
+    return D.find_by_path(d, asked["path"].replace("/", "\\") if asked else "").select("doc_id", "path", "size_bytes")
 
 
 def find_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,13 +236,42 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.diff(old, new.unionByName(pages))
 
 
+def _from_index(spark: SparkSession, read: Callable[[Index], DataFrame]) -> DataFrame:
+    """What is read from an index that exists for this query alone."""
+    at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    try:
+        return cut(read(Index.open(spark, at)))
+    finally:
+        delete(spark, at)
+
+
 def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dictionary of the documents' and the pages' segments merged, without the deleted (DATA) documents."""
+    """The dictionary of an index of the documents, to which the pages came and from which DATA documents went, merged."""
+    docs = read_documents(spark, sf_dir)
+    pages = pages_as_files(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = pages.withColumn("path", F.concat("path", F.lit("?id="), F.col("doc_id").cast("string")))
+    columns = ["path", "extension", "size_bytes", "mtime", "doc_type", "text"]
+
+    def read(index: Index) -> DataFrame:
+        index.update_from(docs)
+        index.update_from(docs.where("doc_type <> 'DATA'").select(*columns).unionByName(pages.select(*columns)))
+        index.compact()
+        return index.tables().dictionary
+
+    return _from_index(spark, read)
+
+
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over two segments and tombstones: DATA documents went, DOC ones changed and have new ids."""
     docs = read_documents(spark, sf_dir)
-    own = P.postings(docs.select("doc_id", "text"))
-    pages = pages_as_files(spark.read.parquet(f"{sf_dir}/pages.parquet")).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
-    dead = docs.where("doc_type = 'DATA'").select("doc_id")
-    return P.dictionary(own.unionByName(P.postings(pages)).join(dead, "doc_id", "left_anti"))
+    grown = F.when(F.col("doc_type") == "DOC", F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))
+
+    def read(index: Index) -> DataFrame:
+        index.update_from(docs)
+        index.update_from(docs.where("doc_type <> 'DATA'").withColumn("size_bytes", grown))
+        return matches(index.tables(), parse("tion OR queque")).select("path", F.round("score", 6).alias("score"))
+
+    return _from_index(spark, read)
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,36 +283,18 @@ def total_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(_tables(spark, sf_dir), parse("the OR der")).agg(F.count("*").alias("total_matches"))
 
 
-def _deltas(own: DataFrame) -> DataFrame:
-    w = Window.partitionBy("term").orderBy("doc_id")
-    return own.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("delta"))
-
-
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deltas of document ids, by lag over a term's postings, of the terms in than*."""
-    return _deltas(_tables(spark, sf_dir).postings.where(F.col("term").startswith("than")))
-
-
-def delta_encode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every term."""
-    return _deltas(_tables(spark, sf_dir).postings)
+    """Deltas of document ids, by lag over each term's postings."""
+    w = Window.partitionBy("term").orderBy("doc_id")
+    return _tables(spark, sf_dir).postings.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("delta"))
 
 
-def _round_trip(own: DataFrame) -> DataFrame:
+def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position list through delta arrays and back, with the bytes that it takes as varints."""
     d = codecs.delta_array(F.col("positions"))
     bytes_ = F.aggregate(d, F.lit(0), lambda a, x: a + codecs.varint_size_column(x))
-    back = codecs.undelta_array(d)
-    return own.select("term", "doc_id", (back == F.col("positions").cast("array<bigint>")).alias("same"), bytes_.cast("long").alias("n_bytes"))
-
-
-def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position lists of the term "is" through delta arrays and back, with the bytes that they take as varints."""
-    return _round_trip(_tables(spark, sf_dir).postings.where("term = 'is'")).drop("term")
-
-
-def delta_round_trip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every term."""
-    return _round_trip(_tables(spark, sf_dir).postings)
+    rows = _tables(spark, sf_dir).postings.select("term", "doc_id", "positions", d.alias("d"), bytes_.cast("long").alias("n_bytes"))
+    return rows.select("term", "doc_id", (codecs.undelta_array(F.col("d")) == F.col("positions").cast("array<bigint>")).alias("same"), "n_bytes")
 
 
 def skip_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +359,7 @@ def queries() -> dict[str, Query]:
     out = {name: _found(q) for name, (q, _) in _SEARCHES.items()}
     out |= {"topk": _top("tion OR queque", 25), "sort_mtime": _top("the AND of sort:mtime", 50), "sort_size": _top("the AND of sort:size", 50), "limit_zero": _top("the", 0)}
     out["strict_phrase"] = _found('"of the"', strict=True)
-    for f in (tokens, tokens_stop_words, token_offsets, doc_metadata, doc_stats, postings, positions, dictionary, dictionary_prefix, idf_table, bm25_multi, global_df, global_df_all, changed_since, find_by_path, find_by_id, table_insert, table_update, table_delete, table_clear, incremental_diff, merge_segments, status, total_matches, delta_encode, delta_encode_all, delta_round_trip, delta_round_trip_all, skip_list, content_crc, snippets, search_json, pages_search):
+    for f in (tokens, tokens_stop_words, tokens_mixed, token_offsets, doc_metadata, doc_stats, postings, positions, dictionary, dictionary_prefix, idf_table, bm25_multi, global_df, changed_since, find_by_path, find_by_id, table_insert, table_update, table_delete, table_clear, incremental_diff, merge_segments, index_search, status, total_matches, delta_encode, delta_round_trip, skip_list, content_crc, snippets, search_json, pages_search):
         out[f.__name__] = f
     return out
 
@@ -363,6 +379,12 @@ def oracle_sql() -> dict[str, str]:
         "strict_phrase": _rows(_phrase("of", "the")),
         "tokens": f"{tok} SELECT doc_id, position, term FROM tok",
         "tokens_stop_words": f"{meta}, kept AS (SELECT doc_id, [w for w in terms if w NOT IN ({_list(STOP_WORDS)})] AS terms FROM meta) SELECT doc_id, unnest(terms) AS term, (generate_subscripts(terms, 1) - 1)::INT AS position FROM kept",
+        "tokens_mixed": f"""WITH runs AS (SELECT doc_id, regexp_extract_all(translate(text, 'aeiouy', '{MIXED}'), '[A-Za-z0-9]+|[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]+') AS rs FROM documents WHERE doc_id % 10 <> 0),
+            own AS (SELECT doc_id, flatten([CASE WHEN regexp_matches(r, '^[A-Za-z0-9]') THEN [w for w in [lower(r)] if length(w) > 1]
+              WHEN length(r) = 1 THEN [r] ELSE [substring(r, i, 2) for i in range(1, length(r))] END for r in rs]) AS terms FROM runs)
+            SELECT doc_id, (generate_subscripts(terms, 1) - 1)::INT AS position, unnest(terms) AS term FROM own""",
+        "index_search": f"""{BASE.replace("FROM documents)", f"FROM documents WHERE {EXT} NOT IN ({_list(DATA_EXTENSIONS)}))")}
+            SELECT path, round(s, 6)::DOUBLE AS score FROM ({both}) JOIN docs USING (doc_id)""",
         "token_offsets": """WITH runs AS (SELECT doc_id, unnest(r) AS run, generate_subscripts(r, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS r FROM documents)),
             placed AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM runs)
             SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS position, lower(run) AS term, (e - length(run))::INT AS start_offset, e::INT AS end_offset
@@ -375,9 +397,9 @@ def oracle_sql() -> dict[str, str]:
         "dictionary_prefix": f"{post}, {DF} SELECT term, df, cf FROM dict WHERE starts_with(term, 'than')",
         "idf_table": f"{post}, {STAT}, {DF} SELECT term, round({IDF}, 6)::DOUBLE AS idf FROM dict, st",
         "bm25_multi": f"{BASE} SELECT doc_id, round(sum(s), 6)::DOUBLE AS score FROM sc WHERE term IN ('the', 'of', 'is') GROUP BY doc_id",
-        "global_df": f"{post} SELECT term, count(DISTINCT doc_id) AS df FROM post JOIN docs USING (doc_id) WHERE doc_type <> 'CONFIG' AND starts_with(term, 'th') GROUP BY term",
+        "global_df": f"{post} SELECT term, count(DISTINCT doc_id) AS df FROM post JOIN docs USING (doc_id) WHERE doc_type <> 'CONFIG' GROUP BY term",
         "changed_since": f"{meta} SELECT doc_id, path FROM docs WHERE mtime > TIMESTAMP '2024-01-15'",
-        "find_by_path": f"{meta} SELECT doc_id, path, size_bytes FROM docs WHERE path = '/corpus/src3/en/doc_3.py'",
+        "find_by_path": f"{meta} SELECT doc_id, path, size_bytes FROM docs WHERE path = (SELECT path FROM docs WHERE doc_id = 42)",
         "find_by_id": f"{meta} SELECT doc_id, path, size_bytes FROM docs WHERE doc_id = 42",
         "table_insert": f"{meta} SELECT doc_id, path, size_bytes FROM docs UNION ALL SELECT -page_id - 1, url || '?id=' || page_id, strlen(html)::BIGINT FROM pages",
         "table_update": f"{meta} SELECT doc_id, CASE WHEN l THEN size_bytes * 2 ELSE size_bytes END AS size_bytes, CASE WHEN l THEN token_count + 1 ELSE token_count END AS token_count FROM (SELECT *, doc_id IN (SELECT doc_id FROM labels) AS l FROM docs)",
@@ -389,9 +411,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT -page_id - 1, unnest({page_terms}) FROM pages) SELECT term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS cf FROM t GROUP BY term""",
         "status": f"{tok} SELECT (SELECT count(*) FROM documents) AS doc_count, count(DISTINCT term) AS term_count, count(*)::BIGINT AS token_total FROM tok",
         "total_matches": f"{tok} SELECT count(DISTINCT doc_id) AS total_matches FROM tok WHERE term IN ('the', 'der')",
-        "delta_encode": f"{post} SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS delta FROM post WHERE starts_with(term, 'than')",
-        "delta_round_trip": f"""{tok}, d AS (SELECT doc_id, position - coalesce(lag(position) OVER (PARTITION BY doc_id ORDER BY position), 0) AS d FROM tok WHERE term = 'is')
-            SELECT doc_id, true AS same, sum(CASE WHEN d < 128 THEN 1 WHEN d < 16384 THEN 2 WHEN d < 2097152 THEN 3 ELSE 4 END)::BIGINT AS n_bytes FROM d GROUP BY doc_id""",
+        "delta_encode": f"{post} SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS delta FROM post",
+        "delta_round_trip": f"""{tok}, d AS (SELECT term, doc_id, position - coalesce(lag(position) OVER (PARTITION BY term, doc_id ORDER BY position), 0) AS d FROM tok)
+            SELECT term, doc_id, true AS same, sum(CASE WHEN d < 128 THEN 1 WHEN d < 16384 THEN 2 WHEN d < 2097152 THEN 3 ELSE 4 END)::BIGINT AS n_bytes FROM d GROUP BY term, doc_id""",
         "skip_list": f"{post} SELECT term, doc_id, k::INT AS k FROM (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS k FROM post) WHERE k > 0 AND k % 128 = 0",
         "search_json": f"""{BASE} SELECT doc_id, '{{"doc_id":' || doc_id || ',"path":"' || path || '","score":' || round(s, 4)::DOUBLE || '}}' AS json
             FROM ({_and(_and(_term("the"), _term("of")), _where("extension = 'md'"))}) JOIN docs USING (doc_id) ORDER BY s DESC, doc_id LIMIT 20""",

@@ -17,7 +17,7 @@ _shipped: set[str] = set()
 
 def session(name: str = "inkwell", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; the master and the sizes come from the cluster, or from `conf`."""
-    defaults = {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    defaults = {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false", "spark.sql.parquet.pushdown.inFilterThreshold": "1000"}
     builder = SparkSession.builder.appName(name)
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)

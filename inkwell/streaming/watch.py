@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from inkwell.constants import SEGMENT_MAX_DOCS
 from inkwell.operators.index import Index
 from inkwell.sources.files import SCHEMA, to_documents
 
@@ -17,7 +18,7 @@ def watch(index: Index, path: str, checkpoint: str, *, every: str | None = "500
     A micro-batch that is run again after a failure replaces the same paths, so the index ends the same. Deleted files are no
     events of a file stream; `Index.update` finds them.
     """
-    reader = index.spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true")
+    reader = index.spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", SEGMENT_MAX_DOCS)
     for p in patterns or ():
         reader = reader.option("pathGlobFilter", p)
 
