@@ -35,6 +35,8 @@ TAGS = 1 + len(KINDS)
 HIDDEN = 16
 WINDOW, OVERLAP = 512, 112
 STEP = 1 << 20
+#: Windows that are decoded together.
+LANES = 1024
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Characters beyond ASCII, by their general category.
 OTHERS = ("Ll", "Lu", "Lo", "M", "N", "P", "Z", "S", "C", "astral")
@@ -399,56 +401,70 @@ def load(at: Path = WEIGHTS) -> Params:
 
 
 def decode_lanes(p: Params, buf: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Best tags (longest lane, lanes) of ranges of symbols; lanes must come longest first."""
+    """Best tags (longest lane, lanes) of ranges of symbols; lanes must come longest first. Blocks of lanes stay in the cache."""
+    tags = np.zeros((int(many[0]), len(start)), np.uint8)
+    for a in range(0, len(start), LANES):
+        own = _decode_block(p, buf, start[a : a + LANES], many[a : a + LANES])
+        tags[: len(own), a : a + LANES] = own
+    return tags
+
+
+def _decode_block(p: Params, buf: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
     lanes, length = len(start), int(many[0])
     h = p["rec_f"].shape[0]
     live = np.searchsorted(-many, -np.arange(length), "left")
     em = np.empty((length, TAGS, lanes), np.float32)
+    half = np.float32(0.5)
     for side in "fb":
-        table, rec, emit = p[f"in_{side}"], p[f"rec_{side}"], p[f"emit_{side}"]
-        last, c = np.zeros((lanes, h), np.float32), np.zeros((lanes, h), np.float32)
+        # a gate is (1 + softsign) / 2: the output's half is taken into the weights that it meets, which changes no bit
+        table, rec, emit = p[f"in_{side}"], p[f"rec_{side}"] * half, p[f"emit_{side}"] * half
+        last, c, prod, hh = (np.zeros((lanes, h), np.float32) for _ in range(4))
         z, tmp = np.empty((lanes, 4 * h), np.float32), np.empty((lanes, 4 * h), np.float32)
         for t in range(length) if side == "f" else range(length - 1, -1, -1):
             n = int(live[t])
-            zz, tt, cc = z[:n], tmp[:n], c[:n]
-            np.take(table, buf[start[:n] + t], axis=0, out=zz)
-            zz += last[:n] @ rec
+            zz, tt, cc, pp, own = z[:n], tmp[:n], c[:n], prod[:n], last[:n]
+            np.take(table, buf[start[:n] + t], axis=0, out=zz, mode="clip")
+            np.matmul(own, rec, out=tt)
+            zz += tt
             np.abs(zz, out=tt)
             tt += 1
             zz /= tt
-            gate = zz[:, : 3 * h]
-            gate *= 0.5
-            gate += 0.5
-            cc *= gate[:, h : 2 * h]
-            cc += gate[:, :h] * zz[:, 3 * h :]
-            hh = np.abs(cc)
-            hh += 1
-            np.divide(cc, hh, out=hh)
-            hh *= gate[:, 2 * h :]
-            last[:n] = hh
+            zz[:, : 3 * h] += 1
+            cc *= zz[:, h : 2 * h]
+            np.multiply(zz[:, :h], zz[:, 3 * h :], out=pp)
+            cc += pp
+            cc *= half
+            np.abs(cc, out=pp)
+            pp += 1
+            np.divide(cc, pp, out=own)
+            own *= zz[:, 2 * h : 3 * h]
             if side == "f":
-                em[t, :, :n] = (hh @ emit + p["out"]).T
+                em[t, :, :n] = (own @ emit + p["out"]).T
             else:
-                em[t, :, :n] += (hh @ emit).T
-    back = np.zeros((length, TAGS, lanes), np.uint8)
-    score = (p["start"][:, None] + em[0]).astype(np.float32)
+                em[t, :, :n] += (own @ emit).T
+    # the best score of a path to each tag replaces the tag's emission; which tag was before is found on the way back
     move = p["move"]
+    em[0] += p["start"][:, None]
+    best, other = np.empty((TAGS, lanes), np.float32), np.empty((TAGS, lanes), np.float32)
     for t in range(1, length):
         n = int(live[t])
-        best = score[0, :n] + move[0][:, None]
-        of = back[t, :, :n]
+        before, bb, oo = em[t - 1], best[:, :n], other[:, :n]
+        np.add(before[0, :n], move[0][:, None], out=bb)
         for k in range(1, TAGS):
-            other = score[k, :n] + move[k][:, None]
-            better = other > best
-            np.maximum(best, other, out=best)
-            np.copyto(of, np.uint8(k), where=better)
-        best += em[t, :, :n]
-        score[:, :n] = best
+            np.add(before[k, :n], move[k][:, None], out=oo)
+            np.maximum(bb, oo, out=bb)
+        em[t, :, :n] += bb
     tags = np.zeros((length, lanes), np.uint8)
-    tags[many - 1, np.arange(lanes)] = score.argmax(axis=0)
+    tags[many - 1, np.arange(lanes)] = em[many - 1, :, np.arange(lanes)].argmax(axis=1)
     for t in range(length - 1, 0, -1):
         n = int(live[t])
-        tags[t - 1, :n] = np.take_along_axis(back[t, :, :n], tags[t, :n][None].astype(np.int64), axis=0)[0]
+        now, own = tags[t, :n], tags[t - 1, :n]
+        top = em[t - 1, 0, :n] + move[0][now]
+        own[:] = 0
+        for k in range(1, TAGS):
+            x = em[t - 1, k, :n] + move[k][now]
+            np.copyto(own, np.uint8(k), where=x > top)
+            np.maximum(top, x, out=top)
     return tags
 
 
