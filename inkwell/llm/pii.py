@@ -36,7 +36,7 @@ HIDDEN = 16
 WINDOW, OVERLAP = 512, 112
 STEP = 1 << 20
 #: Windows that are decoded together.
-LANES = 1024
+LANES = 512
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Characters beyond ASCII, by their general category.
 OTHERS = ("Ll", "Lu", "Lo", "M", "N", "P", "Z", "S", "C", "astral")
@@ -417,27 +417,31 @@ def _decode_block(p: Params, buf: np.ndarray, start: np.ndarray, many: np.ndarra
     half = np.float32(0.5)
     for side in "fb":
         # a gate is (1 + softsign) / 2: the output's half is taken into the weights that it meets, which changes no bit
-        table, rec, emit = p[f"in_{side}"], p[f"rec_{side}"] * half, p[f"emit_{side}"] * half
-        last, c, prod, hh = (np.zeros((lanes, h), np.float32) for _ in range(4))
-        z, tmp = np.empty((lanes, 4 * h), np.float32), np.empty((lanes, 4 * h), np.float32)
+        # each gate has a block of its own, so all passes run over memory as it lies
+        table, rec = (np.ascontiguousarray(x.reshape(-1, 4, h).transpose(1, 0, 2)) for x in (p[f"in_{side}"], p[f"rec_{side}"] * half))
+        emit = p[f"emit_{side}"] * half
+        last, c, prod = (np.zeros((lanes, h), np.float32) for _ in range(3))
+        z, tmp = np.empty((4, lanes, h), np.float32), np.empty((4, lanes, h), np.float32)
         for t in range(length) if side == "f" else range(length - 1, -1, -1):
             n = int(live[t])
-            zz, tt, cc, pp, own = z[:n], tmp[:n], c[:n], prod[:n], last[:n]
-            np.take(table, buf[start[:n] + t], axis=0, out=zz, mode="clip")
+            zz, tt, cc, pp, own = z[:, :n], tmp[:, :n], c[:n], prod[:n], last[:n]
+            symbol = buf[start[:n] + t].astype(np.intp)
+            for g in range(4):
+                np.take(table[g], symbol, axis=0, out=zz[g], mode="clip")
             np.matmul(own, rec, out=tt)
             zz += tt
             np.abs(zz, out=tt)
             tt += 1
             zz /= tt
-            zz[:, : 3 * h] += 1
-            cc *= zz[:, h : 2 * h]
-            np.multiply(zz[:, :h], zz[:, 3 * h :], out=pp)
+            zz[:3] += 1
+            cc *= zz[1]
+            np.multiply(zz[0], zz[3], out=pp)
             cc += pp
             cc *= half
             np.abs(cc, out=pp)
             pp += 1
             np.divide(cc, pp, out=own)
-            own *= zz[:, 2 * h : 3 * h]
+            own *= zz[2]
             if side == "f":
                 em[t, :, :n] = (own @ emit + p["out"]).T
             else:
