@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -324,25 +325,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     groups = _groups(docs.sparkSession, benchmark, item_text_col, n, group)
     at, schema = docs.columns.index(text_col), docs.schema
     names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = isinstance(schema[at].dataType, T.StringType)
+    read = names[at] if plain else "t"  # a text column is read where it is, not carried twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in _shards(batches, "t", shard_bytes):
+        for rows, buf, off in _shards(batches, read, shard_bytes):
             shard = Shard(buf, off)
             text, start, stop, s, e, _ = shard.spans(groups)
-            table = pa.Table.from_batches(rows).drop_columns(["t"])
+            table = pa.Table.from_batches(rows)
+            table = table if plain else table.drop_columns(["t"])
+            rows.clear()
             if len(text):
-                own, raw, col = table.column(at).to_pylist(), buf.tobytes(), table.schema.field(at)
+                new, raw, col = [], buf.tobytes(), table.schema.field(at)
+                cut_rows = np.unique(text)
                 lost = np.bincount(text, stop - start, len(off) - 1)
                 edges = np.searchsorted(text, np.arange(len(off)))
-                for k in np.unique(text):
+                for k in cut_rows:
                     cuts = slice(edges[k], edges[k + 1])
-                    own[k] = b"".join(raw[a:b] for a, b in zip([off[k], *e[cuts]], [*s[cuts], off[k + 1]])).decode()
+                    new.append(b"".join(raw[a:b] for a, b in zip([off[k], *e[cuts]], [*s[cuts], off[k + 1]])).decode())
+                mask = np.zeros(len(off) - 1, bool)
+                mask[cut_rows] = True
                 keep = (lost == 0) | (lost < np.diff(shard.w))
-                table = table.set_column(at, col, pa.array(own, col.type)).filter(pa.array(keep))
+                del raw
+                whole = pa.concat_arrays(table.column(at).chunks)
+                table = table.set_column(at, col, pc.replace_with_mask(whole, pa.array(mask), pa.array(new, col.type))).filter(pa.array(keep))
+            del shard
             yield from table.rename_columns(schema.names).to_batches()
 
     columns = [F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names)]
-    return docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, schema)
+    copy = [] if plain else [F.col(f"`{text_col}`").cast("string").alias("t")]
+    return docs.select(*columns, *copy).mapInArrow(run, schema)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
