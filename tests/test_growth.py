@@ -44,3 +44,15 @@ def test_grouping_works_in_steps(monkeypatch) -> None:
         got = P.group_terms(lists).to_pylist()
         assert [sorted(map(str, r)) for r in got] == [sorted(map(str, r)) for r in whole]
     assert P.group_terms(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+
+
+def test_offsets_work_in_steps(monkeypatch) -> None:
+    """token_offsets: no Python object a token; the same tokens as one text at a time, for any step."""
+    texts = pa.array(["one two three 44 " * 100] * 1000)
+    assert peak(lambda: analysis.analyze_batch(texts)) < 150 * 400_000
+    rng = random.Random(1)
+    some = [None, "", "a", "中", "The fox 中文 of", *("".join(rng.choices("aBz09 .\n中文あ한ｶ々😀𠀀éİK", k=rng.randrange(40))) for _ in range(2000))]
+    for step in (1, 500, 1 << 20):
+        monkeypatch.setattr(analysis, "STEP_BYTES", step)
+        for stop in (False, True):
+            assert analysis.analyze_batch(pa.array(some), stop).to_pylist() == [[t._asdict() for t in analysis.analyze(x, stop)] for x in some]
