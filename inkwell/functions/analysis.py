@@ -20,10 +20,12 @@ from inkwell.constants import STOP_WORDS
 #: A tokenizer that the engine accepts: text column to array of terms in position order.
 Analyzer = Callable[[Column], Column]
 
-_ASCII = "[A-Za-z0-9]+"
 _CJK = r"[[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]&&[\x{0}-\x{FFFF}]]+"
 # Plain ranges around those scripts: far quicker to look for than the scripts themselves
 _MAY_BE_CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{FFFF}]"
+# A token at a place of a lower-cased text, looked ahead at, as pairs overlap; a word is then passed whole, a pair by one character
+_ONE_CJK = rf"[{_MAY_BE_CJK}&&{_CJK}]"
+_MIXED = f"(?=([a-z0-9]{{2,}}|{_ONE_CJK}{{2}}|(?<!{_ONE_CJK}){_ONE_CJK}))(?:[a-z0-9]+|.)"
 
 
 def _fast(text: Column, stop_words: bool) -> Column:
@@ -51,15 +53,10 @@ def bigram_terms(text: Column) -> Column:
 
 def terms(text: Column, stop_words: bool = False) -> Column:
     """Both tokenizers over one text, in text order."""
-    stops = sorted(STOP_WORDS)
-
-    def one(run: Column) -> Column:
-        word = F.lower(run)
-        keep = (F.length(word) > 1) & ~word.isin(*stops) if stop_words else F.length(word) > 1
-        return F.when(run.rlike("^[A-Za-z0-9]"), F.when(keep, F.array(word)).otherwise(F.array().cast("array<string>"))).otherwise(_bigrams(run))
-
-    mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"{_ASCII}|{_CJK}"), F.lit(0)), one))
+    mixed = F.regexp_extract_all(F.lower(F.translate(text, "\u212a\u0130", "  ")), F.lit(_MIXED), F.lit(1))
     plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(_MAY_BE_CJK)
+    if stop_words:
+        mixed = F.filter(mixed, lambda w: ~w.isin(*sorted(STOP_WORDS)))
     return F.coalesce(F.when(plain, _fast(text, stop_words)).otherwise(mixed), F.array().cast("array<string>"))
 
 

@@ -17,10 +17,15 @@ def with_token_count(docs: DataFrame, text_col: str = "text", analyzer: Analyzer
     return docs.withColumn("token_count", F.size(analyzer(F.col(text_col))))
 
 
+def _exploded(own: DataFrame, terms_of: Column) -> DataFrame:
+    """Rows (doc_id, doc_len, position, term) of rows with _terms, by an outer generator: for others Spark infers a filter on the array, which makes it twice."""
+    return own.select("doc_id", F.size("_terms").alias("doc_len"), F.posexplode_outer(terms_of).alias("position", "term"))
+
+
 def tokens(content: DataFrame, analyzer: Analyzer = terms) -> DataFrame:
     """(doc_id, doc_len, position, term) of every token of (doc_id, text)."""
     own = content.select("doc_id", analyzer(F.col("text")).alias("_terms"))
-    return own.select("doc_id", F.size("_terms").alias("doc_len"), F.posexplode("_terms").alias("position", "term"))
+    return _exploded(own, F.col("_terms")).where("term IS NOT NULL")
 
 
 def postings(content: DataFrame, analyzer: Analyzer = terms) -> DataFrame:

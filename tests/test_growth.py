@@ -56,3 +56,14 @@ def test_offsets_work_in_steps(monkeypatch) -> None:
         monkeypatch.setattr(analysis, "STEP_BYTES", step)
         for stop in (False, True):
             assert analysis.analyze_batch(pa.array(some), stop).to_pylist() == [[t._asdict() for t in analysis.analyze(x, stop)] for x in some]
+
+
+def test_mixed_terms_in_one_expression(spark) -> None:
+    """tokens_mixed: each text is analysed once; the same terms as one text at a time."""
+    assert plan(queries.tokens_mixed(spark, SF)).count("octet_length") == 1
+    assert plan(queries.tokens(spark, SF)).count("octet_length") == 1
+    rng = random.Random(2)
+    some = [None, "", "中", "a中", "中a 文ab", "İK中", *("".join(rng.choices("aBz09 .\n中文あ한ｶ々😀𠀀éİK", k=rng.randrange(40))) for _ in range(500))]
+    rows = spark.createDataFrame(list(enumerate(some)), "i int, t string").select("i", analysis.terms(F.col("t")).alias("a"), analysis.terms(F.col("t"), True).alias("b"))
+    for r in rows.collect():
+        assert [r.a, r.b] == [[t.term for t in analysis.analyze(some[r.i], stop)] for stop in (False, True)]
