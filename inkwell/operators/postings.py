@@ -28,16 +28,19 @@ def tokens(content: DataFrame, analyzer: Analyzer = terms) -> DataFrame:
     return _exploded(own, F.col("_terms")).where("term IS NOT NULL")
 
 
+def _grouped(token_rows: DataFrame) -> DataFrame:
+    return token_rows.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.max("doc_len").alias("doc_len"), F.sort_array(F.collect_list("position")).alias("positions"))
+
+
 def postings(content: DataFrame, analyzer: Analyzer = terms) -> DataFrame:
-    """(term, doc_id, tf, doc_len, positions): one shuffle, by term and document, positions ascending.
+    """(term, doc_id, tf, doc_len, positions), positions ascending: grouped within each document's row, without a shuffle.
 
-    A filter on the term goes below the shuffle, to the exploded tokens.
+    Ids are looked through first: if any comes twice, its rows count as one document, and one shuffle groups all tokens by term and document.
     """
-    return (
-        tokens(content, analyzer)
-        .groupBy("term", "doc_id")
-        .agg(F.count("*").cast("int").alias("tf"), F.max("doc_len").alias("doc_len"), F.sort_array(F.collect_list("position")).alias("positions"))
-    )
+    if not content.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _grouped(tokens(content, analyzer))
+    own = content.select("doc_id", analyzer(F.col("text")).alias("_terms"))
+    return from_forward(own.select("doc_id", F.size("_terms").alias("token_count"), forward(F.col("_terms")).alias("terms")))
 
 
 #: A document's distinct terms, each with its frequency and its positions.
@@ -87,8 +90,8 @@ def forward(terms_of: Column) -> Column:
 
 
 def from_forward(rows: DataFrame) -> DataFrame:
-    """Postings of rows (doc_id, token_count, terms), without a shuffle."""
-    return rows.select("doc_id", F.col("token_count").alias("doc_len"), F.explode("terms").alias("_t")).select("_t.term", "doc_id", "_t.tf", "doc_len", "_t.positions")
+    """Postings of rows (doc_id, token_count, terms), without a shuffle; by an outer generator, as in `tokens`."""
+    return rows.select("doc_id", F.col("token_count").alias("doc_len"), F.explode_outer("terms").alias("_t")).where("_t IS NOT NULL").select("_t.term", "doc_id", "_t.tf", "doc_len", "_t.positions")
 
 
 def dictionary(posting_rows: DataFrame) -> DataFrame:

@@ -67,3 +67,14 @@ def test_mixed_terms_in_one_expression(spark) -> None:
     rows = spark.createDataFrame(list(enumerate(some)), "i int, t string").select("i", analysis.terms(F.col("t")).alias("a"), analysis.terms(F.col("t"), True).alias("b"))
     for r in rows.collect():
         assert [r.a, r.b] == [[t.term for t in analysis.analyze(some[r.i], stop)] for stop in (False, True)]
+
+
+@pytest.mark.parametrize("name", ["postings", "delta_round_trip"])
+def test_postings_without_a_shuffle(spark, name) -> None:
+    assert "Aggregate" not in plan(queries.queries()[name](spark, SF))
+
+
+def test_repeated_ids_are_one_document(spark) -> None:
+    content = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, None), (None, "aa"), (None, "aa dd"), (3, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.term, r.tf, r.positions) for r in P.postings(content).collect())
+    assert got == [("1", "aa", 2, [0, 2]), ("1", "bb", 2, [0, 1]), ("1", "cc", 1, [1]), ("None", "aa", 2, [0, 0]), ("None", "dd", 1, [1])]
