@@ -74,6 +74,11 @@ def test_postings_without_a_shuffle(spark, name) -> None:
     assert "Aggregate" not in plan(queries.queries()[name](spark, SF))
 
 
+def test_frequencies_by_one_aggregate(spark) -> None:
+    """global_df: no set of terms and documents is kept."""
+    assert plan(queries.global_df(spark, SF)).count("Aggregate") == 1
+
+
 def test_repeated_ids_are_one_document(spark) -> None:
     content = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, None), (None, "aa"), (None, "aa dd"), (3, "")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.term, r.tf, r.positions) for r in P.postings(content).collect())
