@@ -83,3 +83,21 @@ def test_repeated_ids_are_one_document(spark) -> None:
     content = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (2, None), (None, "aa"), (None, "aa dd"), (3, "")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.term, r.tf, r.positions) for r in P.postings(content).collect())
     assert got == [("1", "aa", 2, [0, 2]), ("1", "bb", 2, [0, 1]), ("1", "cc", 1, [1]), ("None", "aa", 2, [0, 0]), ("None", "dd", 1, [1])]
+
+
+@pytest.mark.parametrize("name", ["topk", "sort_size", "bool_repeat", "prefix_bm25", "phrase3"])
+def test_search_analyses_texts_once(spark, name) -> None:
+    """What is left to read of a search's plan is what one pass over the texts kept."""
+    assert "regexp_extract_all(lower(translate" not in plan(queries.queries()[name](spark, SF))
+
+
+def test_search_of_odd_tables(spark) -> None:
+    """One pass gives the same scores as counting in written postings: repeated ids, no text, no rows."""
+    rows = [(1, "aa bb aa"), (1, "bb cc"), (2, None), (3, ""), (4, "bb aa bb"), (5, "x y z")]
+    for own in (rows, rows[2:4], []):
+        files = spark.createDataFrame([(i, f"/p{k}", "md", 1, None, "DOC", t) for k, (i, t) in enumerate(own)], DOCS)
+        once = P.IndexTables.of(files)
+        counted = P.IndexTables(once.docs, once.content, P.IndexTables.of(files).postings)
+        for q in ("aa", "aa OR bb", '"aa bb"', "b* AND NOT cc", "NOT zz"):
+            a, b = (sorted((r.path, round(r.score, 9)) for r in matches(t, parse(q)).collect()) for t in (once, counted))
+            assert a == b
