@@ -6,13 +6,13 @@ NULL and empty texts give an empty array. All stay on the JVM, but for `tokens`,
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.constants import STOP_WORDS
@@ -134,15 +134,30 @@ def _analyze_step(texts: list[str], stop_words: bool) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([term, *(pa.array(c.astype(np.int32)) for c in columns)], ["term", "pos", "start", "end"]))
 
 
-def analyze_batch(texts: pa.Array, stop_words: bool = False) -> pa.ListArray:
-    """The tokens of each text, in steps, so that memory beyond the batch and its tokens does not grow with it; NULL counts as empty."""
+def _steps(texts: pa.Array, stop_words: bool) -> Iterator[tuple[int, pa.ListArray]]:
+    """The first text of each step and the step's tokens; NULL counts as empty."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    out, at = [], 0
-    while at < len(texts) or not out:
+    at = 0
+    while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right")))
-        out.append(_analyze_step([t or "" for t in texts.slice(at, to - at).to_pylist()], stop_words))
+        yield at, _analyze_step([t or "" for t in texts.slice(at, to - at).to_pylist()], stop_words)
         at = to
-    return out[0] if len(out) == 1 else pa.concat_arrays(out)
+
+
+def analyze_batch(texts: pa.Array, stop_words: bool = False) -> pa.ListArray:
+    """The tokens of each text, in steps, so that memory beyond the batch and its tokens does not grow with it; NULL counts as empty."""
+    return pa.concat_arrays([_analyze_step([], stop_words), *(x for _, x in _steps(texts, stop_words))])
+
+
+def token_rows(content: DataFrame) -> DataFrame:
+    """(doc_id, term, pos, start, end) of every token of (doc_id, text): rows go out step by step, so not even the tokens of a batch are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, x in _steps(b.column(1), False):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)).take(pc.list_parent_indices(x)), *x.flatten().flatten()], ["doc_id", "term", "pos", "start", "end"])
+
+    return content.select("doc_id", "text").mapInArrow(run, "doc_id long, term string, pos int, start int, end int")
 
 
 def tokens(text: Column, stop_words: bool = False) -> Column:

@@ -101,3 +101,11 @@ def test_search_of_odd_tables(spark) -> None:
         for q in ("aa", "aa OR bb", '"aa bb"', "b* AND NOT cc", "NOT zz"):
             a, b = (sorted((r.path, round(r.score, 9)) for r in matches(t, parse(q)).collect()) for t in (once, counted))
             assert a == b
+
+
+def test_offsets_go_out_in_steps(spark, monkeypatch) -> None:
+    """token_offsets: no generator over arrays of a batch's tokens; rows have their own document's id."""
+    assert "Generate" not in plan(queries.token_offsets(spark, SF))
+    texts = [(7, "aa b cc"), (3, None), (3, ""), (None, "dd"), (5, "中文 ee")]
+    got = {(r.doc_id, r.term, r.pos, r.start, r.end) for r in analysis.token_rows(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(i, *t) for i, x in texts for t in analysis.analyze(x)}
