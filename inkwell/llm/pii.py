@@ -35,8 +35,8 @@ TAGS = 1 + len(KINDS)
 HIDDEN = 16
 WINDOW, OVERLAP = 512, 112
 STEP = 1 << 20
-#: Windows that are decoded together.
-LANES = 512
+#: Windows that are decoded together, more than a step has: a pass over few lanes costs a numpy call more than its arithmetic.
+LANES = 4096
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: Characters beyond ASCII, by their general category.
 OTHERS = ("Ll", "Lu", "Lo", "M", "N", "P", "Z", "S", "C", "astral")
@@ -401,33 +401,46 @@ def load(at: Path = WEIGHTS) -> Params:
 
 
 def decode_lanes(p: Params, buf: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Best tags (longest lane, lanes) of ranges of symbols; lanes must come longest first. Blocks of lanes stay in the cache."""
+    """Best tags (longest lane, lanes) of ranges of symbols; lanes must come longest first."""
     tags = np.zeros((int(many[0]), len(start)), np.uint8)
+    net = [_side(p, side) for side in "fb"]
     for a in range(0, len(start), LANES):
-        own = _decode_block(p, buf, start[a : a + LANES], many[a : a + LANES])
-        tags[: len(own), a : a + LANES] = own
+        own = many[a : a + LANES]
+        _best_paths(p, _emit_block(net, p["out"], buf, start[a : a + LANES], own), own, tags[: own[0], a : a + LANES])
     return tags
 
 
-def _decode_block(p: Params, buf: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
-    lanes, length = len(start), int(many[0])
-    h = p["rec_f"].shape[0]
-    live = np.searchsorted(-many, -np.arange(length), "left")
+def _side(p: Params, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of one LSTM as the decoder needs them.
+
+    A gate is (1 + softsign) / 2: the output's half is taken into the weights that it meets, which changes no bit. Each gate has a
+    block of its own, so all passes run over memory as it lies.
+    """
+    h = p[f"rec_{side}"].shape[0]
+    table, rec = (np.ascontiguousarray(x.reshape(-1, 4, h).transpose(1, 0, 2)) for x in (p[f"in_{side}"], p[f"rec_{side}"] * np.float32(0.5)))
+    return table, rec, np.ascontiguousarray((p[f"emit_{side}"] * np.float32(0.5)).T)
+
+
+def _live(many: np.ndarray) -> np.ndarray:
+    """How many lanes, longest first, reach each character."""
+    return np.searchsorted(-many, -np.arange(int(many[0])), "left")
+
+
+def _emit_block(net: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bias: np.ndarray, buf: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Scores (length, tags, lanes) of each character's tags by the network."""
+    lanes, length, live = len(start), int(many[0]), _live(many)
     em = np.empty((length, TAGS, lanes), np.float32)
-    half = np.float32(0.5)
-    for side in "fb":
-        # a gate is (1 + softsign) / 2: the output's half is taken into the weights that it meets, which changes no bit
-        # each gate has a block of its own, so all passes run over memory as it lies
-        table, rec = (np.ascontiguousarray(x.reshape(-1, 4, h).transpose(1, 0, 2)) for x in (p[f"in_{side}"], p[f"rec_{side}"] * half))
-        emit = p[f"emit_{side}"] * half
+    symbols = buf.take(start + np.arange(length)[:, None], mode="clip").astype(np.intp)
+    h = net[0][1].shape[1]
+    half, bias = np.float32(0.5), bias[:, None]
+    score = np.empty((TAGS, lanes), np.float32)
+    for k, (table, rec, emit) in enumerate(net):
         last, c, prod = (np.zeros((lanes, h), np.float32) for _ in range(3))
         z, tmp = np.empty((4, lanes, h), np.float32), np.empty((4, lanes, h), np.float32)
-        for t in range(length) if side == "f" else range(length - 1, -1, -1):
+        for t in range(length - 1, -1, -1) if k else range(length):
             n = int(live[t])
-            zz, tt, cc, pp, own = z[:, :n], tmp[:, :n], c[:n], prod[:n], last[:n]
-            symbol = buf[start[:n] + t].astype(np.intp)
-            for g in range(4):
-                np.take(table[g], symbol, axis=0, out=zz[g], mode="clip")
+            zz, tt, cc, pp, own, ee = z[:, :n], tmp[:, :n], c[:n], prod[:n], last[:n], score[:, :n]
+            np.take(table, symbols[t, :n], axis=1, out=zz, mode="clip")
             np.matmul(own, rec, out=tt)
             zz += tt
             np.abs(zz, out=tt)
@@ -442,34 +455,43 @@ def _decode_block(p: Params, buf: np.ndarray, start: np.ndarray, many: np.ndarra
             pp += 1
             np.divide(cc, pp, out=own)
             own *= zz[2]
-            if side == "f":
-                em[t, :, :n] = (own @ emit + p["out"]).T
+            np.matmul(emit, own.T, out=ee)
+            if k:
+                em[t, :, :n] += ee
             else:
-                em[t, :, :n] += (own @ emit).T
-    # the best score of a path to each tag replaces the tag's emission; which tag was before is found on the way back
-    move = p["move"]
+                np.add(ee, bias, out=em[t, :, :n])
+    return em
+
+
+def _best_paths(p: Params, em: np.ndarray, many: np.ndarray, tags: np.ndarray) -> None:
+    """The tags of the best paths, into tags (length, lanes) of zeros; em is used up.
+
+    The best score of a path to each tag replaces the tag's emission. Nearly all characters are outside and come from outside, so
+    it is noted where that is not so, and only there the way back looks for the tag before.
+    """
+    length, _, lanes = em.shape
+    live, move = _live(many), p["move"]
     em[0] += p["start"][:, None]
     best, other = np.empty((TAGS, lanes), np.float32), np.empty((TAGS, lanes), np.float32)
+    turn, stay = np.zeros((length, lanes), bool), np.empty(lanes, np.float32)
+    columns = move[:, :, None]
     for t in range(1, length):
         n = int(live[t])
-        before, bb, oo = em[t - 1], best[:, :n], other[:, :n]
-        np.add(before[0, :n], move[0][:, None], out=bb)
+        before, bb, oo = em[t - 1, :, :n], best[:, :n], other[:, :n]
+        np.add(before[0], columns[0], out=bb)
+        stay[:n] = bb[0]
         for k in range(1, TAGS):
-            np.add(before[k, :n], move[k][:, None], out=oo)
+            np.add(before[k], columns[k], out=oo)
             np.maximum(bb, oo, out=bb)
+        np.not_equal(stay[:n], bb[0], out=turn[t, :n])
         em[t, :, :n] += bb
-    tags = np.zeros((length, lanes), np.uint8)
     tags[many - 1, np.arange(lanes)] = em[many - 1, :, np.arange(lanes)].argmax(axis=1)
     for t in range(length - 1, 0, -1):
         n = int(live[t])
-        now, own = tags[t, :n], tags[t - 1, :n]
-        top = em[t - 1, 0, :n] + move[0][now]
-        own[:] = 0
-        for k in range(1, TAGS):
-            x = em[t - 1, k, :n] + move[k][now]
-            np.copyto(own, np.uint8(k), where=x > top)
-            np.maximum(top, x, out=top)
-    return tags
+        now = tags[t, :n]
+        at = np.flatnonzero(now | turn[t, :n])
+        if len(at):
+            tags[t - 1, at] = (em[t - 1][:, at] + move[:, now[at]]).argmax(axis=0)
 
 
 def raw_spans(p: Params, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:

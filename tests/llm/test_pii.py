@@ -96,6 +96,48 @@ def test_viterbi_is_the_best_path() -> None:
         assert score(tuple(tags[:m, lane])) == pytest.approx(score(best), abs=1e-4)
 
 
+def test_best_paths_of_many_lanes(monkeypatch) -> None:
+    """Many ragged lanes with frequent turns, in one block and in small ones, against a plain search in double precision."""
+    rng = np.random.default_rng(2)
+    p = P.new_params(rng, 4)
+    p["start"], p["move"] = (rng.normal(0, 2, shape).astype(np.float32) for shape in (P.TAGS, (P.TAGS, P.TAGS)))
+    many = np.sort(rng.integers(1, 41, 300))[::-1]
+    buf = rng.integers(0, P.ALPHABET, int(many.sum())).astype(np.uint8)
+    start = np.cumsum(many) - many
+    tags = P.decode_lanes(p, buf, start, many)
+    move = p["move"].astype(np.float64)
+    for lane, (s, m) in enumerate(zip(start, many)):
+        em = P.emissions(p, buf[s : s + m][:, None])[0][:, 0].astype(np.float64)
+        best = p["start"] + em[0]
+        for e in em[1:]:
+            best = (best[:, None] + move).max(axis=0) + e
+        path = tags[:m, lane]
+        assert p["start"][path[0]] + em[np.arange(m), path].sum() + move[path[:-1], path[1:]].sum() == pytest.approx(best.max(), abs=1e-3)
+        assert not tags[m:, lane].any()
+    assert 0.05 < (tags > 0).mean()
+    monkeypatch.setattr(P, "LANES", 7)
+    assert np.array_equal(P.decode_lanes(p, buf, start, many), tags)
+
+
+def test_calls_a_character(params, monkeypatch) -> None:
+    """A step's windows go through the network together: a call of numpy costs more than its arithmetic over few lanes."""
+
+    class Counting:
+        calls = 0
+
+        def __getattr__(self, name: str) -> object:
+            value = getattr(np, name)
+            self.calls += callable(value) and not isinstance(value, type)
+            return value
+
+    lanes, length = 2048, 40
+    buf = P.labelled_text(8, lanes * length)[0]
+    counting = Counting()
+    monkeypatch.setattr(P, "np", counting)
+    P.decode_lanes(params, buf, np.arange(lanes) * length, np.full(lanes, length))
+    assert counting.calls < 40 * length
+
+
 def test_held_out_spans(params) -> None:
     text, tags, span = P.labelled_text(1234, 60_000)
     got = {(s, e, k) for _, k, s, e in P.reconcile(*P.raw_spans(params, text, np.array([0, len(text)])))}
